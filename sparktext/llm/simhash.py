@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_chunks, table
+from ._common import map_chunks, mix, table
 
 #: The fixed generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -42,32 +42,35 @@ MAX_BITS = 4
 BLOCK = 4096
 
 
-def fingerprint(data: bytes | None, size: int = 4) -> int:
-    """SimHash of a text's word shingles by XXH64 with seed 42; bit set if in over half the hashes."""
+def fingerprint(data: bytes | None, size: int = 4, parts: int = 1) -> list[int]:
+    """SimHash of a text's word shingles by XXH64 with seed 42; a bit is set if in over half the
+    hashes. Further parts of 64 bits are made the same way from the mixed hashes."""
     words = data.lower().split() if data else []
     n = len(words)
     if not n:
-        return 0
+        return [0] * parts
     h64 = xxhash.xxh64_intdigest
-    if n < size:
-        return h64(b" ".join(words), 42)
-    out = np.zeros(64, np.int64)
+    size = min(size, n)
+    out = np.zeros((parts, 64), np.int64)
     for k in range(0, n - size + 1, 1 << 16):  # bounded memory for very long texts
         part = words[k : k + (1 << 16) + size - 1]
         h = np.array([h64(s, 42) for s in map(b" ".join, zip(*(part[i:] for i in range(size))))], np.uint64)
-        out += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for p in range(parts):
+            out[p] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = mix(h + np.uint64(1))
     bits = (2 * out > n - size + 1).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer)."""
+def fingerprints(docs: DataFrame, size: int = 4, parts: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, f0, f1, ...: the fingerprint's parts as signed 64-bit integers."""
+    names = [f"f{p}" for p in range(parts)]
 
     def run(cols):
-        fp = np.array([fingerprint(t, size) for t in cols[1]], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+        fp = np.array([fingerprint(t, size, parts) for t in cols[1]], np.uint64).reshape(-1, parts).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts))], names=["doc_id", *names])
 
-    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, fp long")
+    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -122,26 +125,28 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _buckets(fps: DataFrame) -> DataFrame:
-    """key, fp, and the given other columns for each key of each distinct fingerprint."""
+def _buckets(nodes: DataFrame, keyed: int) -> DataFrame:
+    """(key, and the columns of ``nodes``) for each key of each node's first ``keyed`` parts."""
+    at = [nodes.columns.index(f"f{p}") for p in range(keyed)]
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                fp = part.column(0).to_numpy()
-                row, key = keys_of(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(row)) for c in part.columns)], names=["key", *part.schema.names])
+                rows, keys = [], []
+                for p, c in enumerate(at):
+                    row, key = keys_of(part.column(c).to_numpy().view(np.uint64))
+                    rows.append(row)
+                    keys.append(key | (p << 32))
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(c.take(row) for c in part.columns)], names=["key", *part.schema.names])
 
-    return fps.mapInArrow(run, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fps.schema))
+    return nodes.mapInArrow(run, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema))
 
 
-def _near(a, b):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
-
-
-def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Edges between clusters that link the fingerprints a (clusters ca) with b, as a spanning forest."""
+def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges between clusters that link the fingerprints a (rows of parts; clusters ca) with b, as a
+    spanning forest."""
     names, both = np.unique(np.concatenate([ca, cb]), return_inverse=True)
     if len(names) < 2:
         return []
@@ -156,9 +161,8 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, same:
 
     out = []
     for k in range(0, len(a), 256):
-        close = np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= MAX_BITS
-        close &= ia[k : k + 256, None] != ib[None, :]
-        x, y = np.nonzero(close)
+        away = sum(np.bitwise_count(a[k : k + 256, None, p] ^ b[None, :, p]).astype(np.int16) for p in range(a.shape[1]))
+        x, y = np.nonzero((away <= limit) & (ia[k : k + 256, None] != ib[None, :]))
         for p in np.unique(ia[k + x] * len(names) + ib[y]).tolist():
             r, s = root(p // len(names)), root(p % len(names))
             if r != s:
@@ -167,52 +171,52 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, same:
     return out
 
 
-def _cross(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges between clusters from buckets (key, fp, cluster) that hold two clusters or more.
+def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> DataFrame:
+    """Edges between clusters from buckets (key, f0.., node, cluster) that hold two clusters or more.
 
-    Members are dealt in blocks by a hash of the fingerprint; a bucket of n members has
-    ceil(n / block) blocks, and each pair of blocks is one group of at most about twice ``block`` rows.
+    Members are dealt in blocks by a hash of the node; a bucket of n members has ceil(n / block)
+    blocks, and each pair of blocks is one group of at most about twice ``block`` rows.
     """
     spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
-    rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    dealt = rows.select("key", "own", "fp", "cluster", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "cluster")
+    rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    fs = [f"f{p}" for p in range(parts)]
+    dealt = rows.select("key", "own", "cluster", *fs, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", *fs)
     # groups are small and many: a task takes its share of groups as one sorted run
-    parts = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    dealt = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+
+    def solve(cols):
+        key, i, j, own, cl = cols[:5]
+        fp = np.stack(cols[5:], 1).view(np.uint64)
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        out = []
+        for s, e in zip([0, *cut], [*cut, len(key)]):
+            x, c, o = fp[s:e], cl[s:e], own[s:e]
+            if i[s] == j[s]:
+                out += _forest(x, x, c, c, limit)
+            else:
+                p, q = o == i[s], o == j[s]
+                out += _forest(x[p], x[q], c[p], c[q], limit)
+        a = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
     def run(batches):
         held = None
-
-        def solve(cols):
-            key, i, j, own, fp, cl = cols
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            out = []
-            for s, e in zip([0, *cut], [*cut, len(key)]):
-                x, c, o = fp[s:e].view(np.uint64), cl[s:e], own[s:e]
-                if i[s] == j[s]:
-                    out += _forest(x, x, c, c, True)
-                else:
-                    p, q = o == i[s], o == j[s]
-                    out += _forest(x[p], x[q], c[p], c[q], False)
-            return out
-
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(cols[0]):
+                continue
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             # the last group may go on in the next batch
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
             start = int(np.argmax(last))
             held = [c[start:] for c in cols]
-            if start and (out := solve([c[:start] for c in cols])):
-                yield _edges(out)
-        if held is not None and (out := solve(held)):
-            yield _edges(out)
-
-    def _edges(out):
-        a = np.array(out, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+            if start:
+                yield solve([c[:start] for c in cols])
+        if held is not None:
+            yield solve(held)
 
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -238,29 +242,46 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """fp, cluster (the smallest fingerprint reachable by links) for a table of distinct fingerprints."""
-    keys = _buckets(distinct.select("fp"))
-    first = keys.groupBy("key").agg(F.min("fp").alias("low"))
-    stars = keys.join(first, "key").where((F.col("fp") != F.col("low")) & _near("fp", "low")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    near = components(stars)
-    label = table(distinct.select("fp").join(near, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("cluster")), "clusters")
-    again = components(_cross(_buckets(label), block))
-    return label.join(again, F.col("cluster") == F.col("node"), "left").select("fp", F.coalesce("root", "cluster").alias("cluster"))
-
-
-def near_duplicates(docs: DataFrame, size: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: fingerprint (hex), component_id (smallest doc_id reachable)."""
-    marked = table(fingerprints(docs, size, text, key), "fingerprints")
-    distinct = table(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    found = table(clusters(distinct).join(distinct, "fp"), "found")
-    ids = found.groupBy("cluster").agg(F.min("low").alias("component_id"))
-    by_fp = found.join(ids, "cluster").select("fp", "component_id")
-    return marked.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, size: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id (all rows of that doc_id)."""
-    groups = near_duplicates(docs, size, text, key)
-    out = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, docs[key] == out["doc_id"], "left_anti")
+def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
+    fingerprints (f0, ...). Nodes link at ``limit`` or fewer differing bits over all parts; they meet
+    by the keys of the first ``keyed`` parts."""
+    fs = [f"f{p}" for p in range(parts)]
+    keys = _buckets(nodes, keyed)
+    first = keys.groupBy("key").agg(F.min(F.struct("node", *fs)).alias("low"))
+    away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"low.{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("low.f0"))))
+    stars = keys.join(first, "key").where((F.col("node") != F.col("low.node")) & (away <= limit)).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    near = components(stars).withColumnRenamed("node", "a")
+    label = table(nodes.join(near, nodes["node"] == near["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")
+    again = components(_cross(_buckets(label, keyed), parts, limit, block)).withColumnRenamed("node", "a")
+    return label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document: fingerprint (hex of all parts), component_id (smallest doc_id reachable)."""
+    fs = [f"f{p}" for p in range(parts)]
+    marked = table(fingerprints(docs, size, parts, text, key), "fingerprints")
+    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    found = nodes.join(clusters(nodes, parts, keyed, limit), "node").select(*fs, F.col("cluster").alias("component_id"))
+    return marked.join(found, fs, "left").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fs)).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def bits_at(similarity: float, parts: int) -> int:
+    """Differing bits to expect at a Jaccard similarity of shingle sets: the angle between the sets'
+    vectors, whose cosine is 2s / (1 + s), as a share of all bits; two standard deviations are
+    added so that pairs at the limit itself are found."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * parts
+    return int(n * share + 2 * np.sqrt(n * share * (1 - share)))
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts: int = 4, keyed: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest doc_id.
+
+    Copies at a similarity of 0.8 differ in about 15 % of the bits, more than the four of 64 that one
+    fingerprint's keys are sure to meet. So documents get ``parts`` fingerprints of independent bits
+    (verified together) and meet by the keys of ``keyed`` of them. Rows without a doc_id stay.
+    """
+    groups = near_duplicates(docs, size, parts, keyed, bits_at(similarity, parts), text, key)
+    out = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(out, docs[key] == out["_gone"], "left_anti")
