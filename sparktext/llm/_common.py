@@ -51,13 +51,13 @@ def _forget(spark: SparkSession, paths: list[str]) -> None:
             return
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives
     lost executors. The files go when the session's Python process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparktext-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     paths = _scratch.get(spark.sparkContext)
     if paths is None:
         paths = _scratch[spark.sparkContext] = []

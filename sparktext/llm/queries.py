@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, rules, simhash
+from . import bpe, decontam, hmm, langid, quality, rules, simhash
 from ._common import read
 
 #: The rank file of op6; the folder of public tokenizers is a parameter of the machine.
@@ -20,6 +20,10 @@ def vocabulary() -> bpe.Vocabulary:
     return bpe.Vocabulary(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(read(spark, sf_dir, "documents"))
 
