@@ -11,6 +11,10 @@ prefixes form a tree. A later token starts at a position from which the bytes re
 proper prefix of some token; a boundary on the tree paths of all such positions is settled. The
 lookahead is thus bounded by the longest token's chain of prefixes, not by the text.
 
+The state table is bounded. Once it is full, a transition that is not in it is followed by
+simulating the same machine without making states, which costs less than making states that are met
+once.
+
 Decoding streams the ids' bytes through an incremental UTF-8 machine that holds back the bytes of
 an unfinished character between chunks.
 
@@ -23,7 +27,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import gc
 import hashlib
 import struct
 
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from ._common import map_chunks
 
-#: States and pieces that a worker keeps; beyond, the tables are emptied and filled anew.
-MAX_STATES = 200_000
+#: States that a worker makes, and pieces of each of the two generations it keeps.
+MAX_STATES = 20_000
 MAX_PIECES = 400_000
 
 
@@ -51,14 +54,14 @@ class MergeTransducer:
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.packed = {v: struct.pack("<I", v) for v in ranks.values()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        # of each token and each proper prefix of one: 2 * id (or -2), plus 1 if it is a proper prefix
+        self.trie = {t: 2 * v for t, v in ranks.items()}
+        for t in ranks:
+            for k in range(1, len(t)):
+                self.trie[t[:k]] = self.trie.get(t[:k], -2) | 1
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
+        self._valid: dict[int, bool] = {}
         self.states: dict[tuple, tuple] = {}
-        gc.collect()  # states point at each other
         self.start = self._state((-1, b""), [-1], [0], [0])
 
     def parts(self, token: int) -> tuple[int, int] | None:
@@ -83,14 +86,16 @@ class MergeTransducer:
         play if its rank is below those of the merges undone so far. Of equal ranks the left one
         goes first.
         """
-        if left < 0:
-            return len(self.bytes_of[right]) == 1 or self.parts(right) is not None
-        key = (left, right)
+        key = left << 32 | right
         v = self._valid.get(key)
         if v is None:
-            if len(self._valid) > 2 * self.max_states:
+            if len(self._valid) > 1_000_000:
                 self._valid.clear()
-            v = self._valid[key] = self._stands(left, right)
+            if left < 0:
+                v = len(self.bytes_of[right]) == 1 or self.parts(right) is not None
+            else:
+                v = self._stands(left, right)
+            self._valid[key] = v
         return v
 
     def _stands(self, left: int, right: int) -> bool:
@@ -122,20 +127,31 @@ class MergeTransducer:
         state = self.states[key] = ({}, b"".join(out), key, last, back, live)
         return state
 
+    def _read(self, data: bytes, n: int, last: list, back: list, live: list) -> list:
+        """Read the byte ``data[n - 1]``: fills in the last token of the first n bytes and where it
+        starts; returns the positions that are live after it."""
+        trie, after, found = self.trie, [], False
+        for j in live:
+            x = trie.get(data[j:n])
+            if x is None:
+                continue
+            if x & 1:
+                after.append(j)
+            if not found and x >= 0 and self.valid(last[j], x >> 1):
+                found = True
+                last.append(x >> 1)
+                back.append(j)
+        if not found:
+            raise ValueError("the vocabulary lacks a byte or isn't made by merges")
+        after.append(n)
+        return after
+
     def step(self, state: tuple, byte: int) -> tuple[tuple, bytes]:
         """The next state and what is emitted on the way; made once for each pair met."""
-        (_, pending), last, back, starts = state[2], state[3], state[4], state[5]
-        data = pending + bytes((byte,))
+        data = state[2][1] + bytes((byte,))
         n = len(data)
-        ranks, prefixes = self.ranks, self.prefixes
-        for j in starts:
-            if (t := ranks.get(data[j:])) is not None and self.valid(last[j], t):
-                break
-        else:
-            raise ValueError("the vocabulary lacks a byte or isn't made by merges")
-        last, back = [*last, t], [*back, j]
-        live = [k for k in starts if data[k:] in prefixes]
-        live.append(n)
+        last, back = [*state[3]], [*state[4]]
+        live = self._read(data, n, last, back, state[5])
         # the nearest boundary that all live paths share
         front = [*live]
         while len(front) > 1:
@@ -165,23 +181,58 @@ class MergeTransducer:
         state[0][byte] = done
         return done
 
+    def simulate(self, state: tuple, rest: bytes) -> bytes:
+        """What the machine emits from ``state`` to the end of the piece, without making states."""
+        pending = state[2][1]
+        data = pending + rest
+        last, back, live = [*state[3]], [*state[4]], state[5]
+        for n in range(len(pending) + 1, len(data) + 1):
+            live = self._read(data, n, last, back, live)
+        out, k = [], len(data)
+        while k:
+            out.append(self.packed[last[k]])
+            k = back[k]
+        out.reverse()
+        return b"".join(out)
+
     def encode(self, piece: bytes) -> bytes:
         """The ids of one piece as little-endian 32-bit integers. A piece that is a token is that token."""
         t = self.ranks.get(piece)
         if t is not None:
-            return struct.pack("<I", t)
-        if len(self.states) > self.max_states:
-            self.reset()
+            return self.packed[t]
         state, out = self.start, []
-        for byte in piece:
+        for k, byte in enumerate(piece):
             hit = state[0].get(byte)
-            state, emitted = hit if hit is not None else self.step(state, byte)
+            if hit is None:
+                if len(self.states) >= self.max_states:
+                    out.append(self.simulate(state, piece[k:]))
+                    return b"".join(out)
+                hit = self.step(state, byte)
+            state, emitted = hit
             if emitted:
                 out.append(emitted)
         out.append(state[1])
         return b"".join(out)
 
 
+class Pieces(dict):
+    """Encoded pieces, in two generations of bounded size: the older one goes when the newer is full."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece.encode())
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     """Text to ids and back, with the transducer's results kept by piece."""
 
@@ -190,29 +241,13 @@ class ByteBPE:
 
         self.fst = MergeTransducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.max_pieces = max_pieces
+        self.pieces = Pieces(self.fst.encode, max_pieces)
         self.vocab = self.fst.bytes_of
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers one after the other."""
-        known, found = self.pieces, self.split(text)
-        try:
-            return b"".join([known[p] for p in found])
-        except KeyError:
-            pass
-        if len(known) > self.max_pieces:
-            known.clear()
-        collects = gc.isenabled()
-        gc.disable()  # else the collector walks all states again and again
-        try:
-            for p in set(found):
-                if p not in known:
-                    known[p] = self.fst.encode(p.encode())
-        finally:
-            if collects:
-                gc.enable()
-        return b"".join([known[p] for p in found])
+        known = self.pieces
+        return b"".join([known[p] for p in self.split(text)])
 
     def decode(self, ids: np.ndarray, step: int = 1 << 16):
         """Chunks of decoded bytes; each ends at the end of a character."""
