@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, hmm, langid, quality, rules, simhash
+from . import bpe, decontam, hmm, langid, quality, rules, simhash, suffixdedup
 from ._common import read
 
 #: The rank file of op6; the folder of public tokenizers is a parameter of the machine.
@@ -46,6 +46,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
