@@ -347,8 +347,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", key: str =
     return rows.select(F.col(key).cast("long"), F.col(ids)).mapInArrow(run, f"{key} long, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode whole texts, decode the ids again; counts and SHA-256 of both.
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Encode whole texts, decode the ids again; counts and SHA-256 of both, and the ids if wanted.
 
     One pass in Arrow batches, no shuffle; a worker holds one chunk of texts and its tables.
     """
@@ -356,7 +356,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key:
 
     def run(cols):
         coder = spec.value.coder()
-        n, ids_sha, back_sha = [], [], []
+        n, ids_sha, back_sha, flat = [], [], [], []
         for t in cols[1]:
             ids = coder.encode((t or b"").decode())
             back = hashlib.sha256()
@@ -365,6 +365,12 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key:
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             back_sha.append(back.hexdigest())
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            if with_ids:
+                flat.append(ids)
+        out = {key: pa.array(cols[0], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(back_sha)}
+        if with_ids:
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(flat), "<i4")))
+        return pa.RecordBatch.from_pydict(out)
+
+    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

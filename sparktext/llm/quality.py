@@ -136,7 +136,8 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, text: str =
         found = [make(t) for t in cols[1]]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names=["grade", "place", "x"])
 
-    got = map_chunks(rows, features, "grade int, place binary, x binary").orderBy("place", "x", "grade").collect()
+    got = map_chunks(rows, features, "grade int, place binary, x binary").collect()
+    got.sort(key=lambda r: (bytes(r[1]), bytes(r[2]), r[0]))  # the fit doesn't depend on partitions
     vectors = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in got]
     return fit(vectors, np.array([r[0] for r in got], np.int64))
 

@@ -219,13 +219,14 @@ def resolve(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx: list[bytes]) ->
     order_r, lcp_r = deep_shallow(right)
     order_l, lcp_l = deep_shallow(left)
     least, most = np.full(n, WIDTH), np.full(n, -1)
-    # only rows that have a neighbour with the anchor in common and one more take part
     for back in range(int(lo.min()), int(hi.max()) + 1):
         ok = (lo <= back) & (back <= hi)
         r, m = np.empty(n, np.int64), np.empty(n, np.int64)
         r[order_r] = np.cumsum(lcp_r < WIDTH - back)
         m[order_l] = np.cumsum(lcp_l < back)
         at = np.flatnonzero(ok)
+        if len(at) < 2:
+            continue
         name = r[at] * (n + 1) + m[at]
         by = np.argsort(name, kind="stable")
         same = np.concatenate([[False], name[by][1:] == name[by][:-1]])
@@ -303,14 +304,27 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return map_chunks(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
     """The documents with repeated bytes taken out of their text; a character that loses a byte goes
-    whole, so the text stays UTF-8. Null texts stay null."""
+    whole, so the text stays UTF-8. A column ``length``, if there, is set to the new number of
+    characters of texts that change. Null texts stay null; no row goes."""
     found = removed(docs, text, key).select(F.col("doc_id").alias("_id"), F.col("marks").alias("_marks"), F.col("copy").alias("_copy"))
-    joined = docs.join(found, docs[key] == F.col("_id"), "left")
-
-    @F.pandas_udf("string")
-    def cut(texts, ranges, copy):
-        return texts.where(texts.isna(), [kept_parts((t or "").encode(), m, bool(c))[0].decode("utf-8", "ignore") if isinstance(t, str) else None for t, m, c in zip(texts, ranges, copy.fillna(False))])
+    joined = docs.join(found, docs[key] == F.col("_id"), "left").drop("_id")
+    at = docs.columns.index(text)
+    names = docs.columns
+    size = names.index(length) if length in names else None
 
-    return joined.withColumn(text, F.when(F.col("_id").isNull(), F.col(text)).otherwise(cut(text, F.coalesce("_marks", F.array().cast("array<struct<s:long,e:long>>")), "_copy"))).select(*docs.columns)
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                cols = b.slice(k, 512).columns
+                ranges, copy = cols[-2].to_pylist(), cols[-1].to_pylist()
+                if any(m or c for m, c in zip(ranges, copy)):
+                    old = cols[at].to_pylist()
+                    new = [t if t is None or not (m or c) else kept_parts(t.encode(), m, bool(c))[0].decode("utf-8", "ignore") for t, m, c in zip(old, ranges, copy)]
+                    cols[at] = pa.array(new, cols[at].type)
+                    if size is not None:
+                        cols[size] = pa.array([n if s == t else len(t) for n, s, t in zip(cols[size].to_pylist(), old, new)], cols[size].type)
+                yield pa.RecordBatch.from_arrays(cols[:-2], names=names)
+
+    return joined.mapInArrow(run, docs.schema)
