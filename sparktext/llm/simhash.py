@@ -5,8 +5,11 @@ perfect (23, 12) Golay code. A segment's keys are the indices of all codewords w
 the nearest one and, at distance 3 from it, the five others that a decoder's table gives. Two words
 at distance 2 or less have a word between them that is within distance 3 of some codeword, so that
 codeword is within 4 of both: they share a key. By the pigeonhole principle, 4 differing bits over
-three segments leave two segments with at most 2 differing bits in each. So a key of two segments'
-indices (three pairs of segments, up to 36 keys each) meets every link; candidates are verified.
+three segments leave either one segment without a difference and another with at most 2, or three
+segments with differences, of which two have just one and the third at most 2. In the first case the
+whole segment and the other's index are a key (33 bits, 6 ordered pairs, up to 6 keys each); in the
+second one half of each of the two segments is equal, and the two halves and the third's index are
+a key (33 bits, 3 choices of the third, 4 of the halves, up to 6 keys each). Candidates are verified.
 
 Fingerprints are first made distinct (copies collapse in a partial aggregation), so groups of exact
 copies never meet in a join. Links are found in two rounds that emit no pairs within a group:
@@ -63,14 +66,14 @@ def fingerprint(data: bytes | None, size: int = 4, parts: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, parts: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, f0, f1, ...: the fingerprint's parts as signed 64-bit integers."""
+    """doc_id, words (their number), f0, f1, ...: the fingerprint's parts as signed 64-bit integers."""
     names = [f"f{p}" for p in range(parts)]
 
     def run(cols):
         fp = np.array([fingerprint(t, size, parts) for t in cols[1]], np.uint64).reshape(-1, parts).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts))], names=["doc_id", *names])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([len(t.split()) if t else 0 for t in cols[1]], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts))], names=["doc_id", "words", *names])
 
-    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, words long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -104,44 +107,68 @@ def decoder() -> np.ndarray:
 _DECODER = decoder()
 
 
-def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all distinct keys of the fingerprints (unsigned)."""
-    index = []
+def _segments(fp: np.ndarray):
+    """Per segment: its bits, its six indices, and which of these are no repeats."""
+    out = []
     for low, size in SEGMENTS:
         v = ((fp >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
-        index.append((v >> 11)[:, None] ^ _DECODER[_syndrome(v)])
+        six = (v >> 11)[:, None] ^ _DECODER[_syndrome(v)]
+        use = np.ones((len(fp), 6), bool)
+        use[:, 1:] = six[:, :1] != six[:, 1:2]  # words near a codeword have one index
+        out.append((v, six, use))
+    return out
+
+
+def wide_keys(fp: np.ndarray, size: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by the indices of two segments and the text's length: words of two segments may
+    differ in two bits each and mostly meet beyond that, so these keys find links at more bits than
+    ``keys_of`` is sure of. Lengths fall in classes of a factor of 1.5, shifted by half a class from
+    part to part, so that near copies at a border of one part's classes meet by the other's."""
+    seg = _segments(fp)
+    length = np.floor(np.log(np.maximum(size, 1)) / np.log(1.5) + 0.5 * part).astype(np.int64)
     rows, keys = [], []
-    n = np.arange(len(fp))
-    for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        six = [(x[:, :1] != x[:, 1:2]).ravel() for x in (index[a], index[b])]
-        both = (pair << 24) | (index[a][:, :, None] << 12) | index[b][:, None, :]
-        # words near a codeword have one index: their repeats are left out
-        use = np.ones((len(fp), 6, 6), bool)
-        use[:, 1:, :] &= six[0][:, None, None]
-        use[:, :, 1:] &= six[1][:, None, None]
-        k = both[use]
-        rows.append(np.repeat(n, use.sum((1, 2))))
-        keys.append(k)
+    for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        use = seg[a][2][:, :, None] & seg[b][2][:, None, :]
+        both = (seg[a][1][:, :, None] << 12) | seg[b][1][:, None, :] | ((kind << 40) | (length << 24))[:, None, None]
+        rows.append(np.nonzero(use)[0])
+        keys.append(both[use])
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _buckets(nodes: DataFrame, keyed: int) -> DataFrame:
-    """(key, and the columns of ``nodes``) for each key of each node's first ``keyed`` parts."""
-    at = [nodes.columns.index(f"f{p}") for p in range(keyed)]
+def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of the fingerprints (unsigned); none is repeated."""
+    seg = _segments(fp)
+    whole, index, fresh = ([x[k] for x in seg] for k in range(3))
+    halves = [(v & 0x7FF, v >> 11) for v in whole]
+    keys, kind = [], 0
+    for third in range(3):
+        at = np.flatnonzero(fresh[third].ravel()) // 6
+        six = index[third][fresh[third]]
+        for one in range(3):
+            if one != third:
+                keys.append((at, (kind << 36) | (whole[one][at] << 12) | six))
+                kind += 1
+        a, b = (x for x in range(3) if x != third)
+        for x in halves[a]:
+            for y in halves[b]:
+                keys.append((at, (kind << 36) | (x[at] << 23) | (y[at] << 12) | six))
+                kind += 1
+    return np.concatenate([r for r, _ in keys]), np.concatenate([k for _, k in keys])
+
+
+def _buckets(nodes: DataFrame, keyed: int, wide: bool) -> DataFrame:
+    """(key, node) for each key of each node's first ``keyed`` parts."""
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                rows, keys = [], []
-                for p, c in enumerate(at):
-                    row, key = keys_of(part.column(c).to_numpy().view(np.uint64))
-                    rows.append(row)
-                    keys.append(key | (p << 32))
-                row = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(c.take(row) for c in part.columns)], names=["key", *part.schema.names])
+                for p in range(keyed):
+                    fp = part.column(p + 2).to_numpy().view(np.uint64)
+                    row, key = wide_keys(fp, part.column(1).to_numpy(), p) if wide else keys_of(fp)
+                    yield pa.RecordBatch.from_arrays([pa.array(key | (p << 48)), part.column(0).take(pa.array(row))], names=["key", "node"])
 
-    return nodes.mapInArrow(run, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema))
+    return nodes.select("node", "size", *(f"f{p}" for p in range(keyed))).mapInArrow(run, "key long, node long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -172,7 +199,7 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit:
 
 
 def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> DataFrame:
-    """Edges between clusters from buckets (key, f0.., node, cluster) that hold two clusters or more.
+    """Edges between clusters from buckets (key, node, cluster, f0..) that hold two clusters or more.
 
     Members are dealt in blocks by a hash of the node; a bucket of n members has ceil(n / block)
     blocks, and each pair of blocks is one group of at most about twice ``block`` rows.
@@ -242,27 +269,30 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
-    fingerprints (f0, ...). Nodes link at ``limit`` or fewer differing bits over all parts; they meet
-    by the keys of the first ``keyed`` parts."""
+    fingerprints (f0, ...) and sizes. Nodes link at ``limit`` or fewer differing bits over all parts;
+    they meet by the keys (``wide`` or sure ones) of the first ``keyed`` parts."""
     fs = [f"f{p}" for p in range(parts)]
-    keys = _buckets(nodes, keyed)
-    first = keys.groupBy("key").agg(F.min(F.struct("node", *fs)).alias("low"))
-    away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"low.{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("low.f0"))))
-    stars = keys.join(first, "key").where((F.col("node") != F.col("low.node")) & (away <= limit)).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
-    near = components(stars).withColumnRenamed("node", "a")
+    keys = _buckets(nodes, keyed, wide)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    # few keys are shared: what follows is as large as the groups of near copies
+    met = table(keys.join(shared, "key").select("key", "node", "low"), "met")
+    lows = nodes.select(F.col("node").alias("low"), *(F.col(f).alias(f"l{f}") for f in fs))
+    pairs = met.where("node <> low").select("low", "node").distinct().join(lows, "low").join(nodes.select("node", *fs), "node")
+    away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
+    near = components(pairs.where(away <= limit).select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "a")
     label = table(nodes.join(near, nodes["node"] == near["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")
-    again = components(_cross(_buckets(label, keyed), parts, limit, block)).withColumnRenamed("node", "a")
+    again = components(_cross(met.select("key", "node").join(label, "node"), parts, limit, block)).withColumnRenamed("node", "a")
     return label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: fingerprint (hex of all parts), component_id (smallest doc_id reachable)."""
     fs = [f"f{p}" for p in range(parts)]
     marked = table(fingerprints(docs, size, parts, text, key), "fingerprints")
-    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    found = nodes.join(clusters(nodes, parts, keyed, limit), "node").select(*fs, F.col("cluster").alias("component_id"))
+    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node"), F.min("words").alias("size")).where("node is not null"), "nodes")
+    found = nodes.join(clusters(nodes, parts, keyed, limit, wide), "node").select(*fs, F.col("cluster").alias("component_id"))
     return marked.join(found, fs, "left").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fs)).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -280,8 +310,8 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts:
 
     Copies at a similarity of 0.8 differ in about 15 % of the bits, more than the four of 64 that one
     fingerprint's keys are sure to meet. So documents get ``parts`` fingerprints of independent bits
-    (verified together) and meet by the keys of ``keyed`` of them. Rows without a doc_id stay.
+    (verified together) and meet by the wide keys of ``keyed`` of them. Rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, size, parts, keyed, bits_at(similarity, parts), text, key)
+    groups = near_duplicates(docs, size, parts, keyed, bits_at(similarity, parts), True, text, key)
     out = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(out, docs[key] == out["_gone"], "left_anti")
