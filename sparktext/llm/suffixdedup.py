@@ -11,7 +11,10 @@ suffixes agree on the whole window; the earliest keeps it.
 
 Skew: copies of whole texts are settled by their hash before. A task that reads texts first drops
 suffixes with the same surroundings as an earlier one of its chunk (they are marked at once), so a
-passage in many documents comes once per chunk. An anchor met more than ``HOT`` times is dealt by whole windows.
+passage in many documents comes once per chunk. The windows of an anchor met more than ``HOT`` times are
+dealt in shares of ``SHARE`` neighbouring ones, each by the bytes all of them have. What is still more
+than ``HOT`` rows of one name goes on as single windows by their 128-bit hash, whose first places a
+partial aggregation finds; so no task ever holds more than ``HOT`` rows of one name.
 
 Edge cases: null texts are empty and nothing is removed; rows with a null doc_id stay whole and
 mark nothing; rows that share a doc_id are taken for one document (ranges are cut to each row's
@@ -33,6 +36,8 @@ from . import repeats
 from ._common import map_chunks, table
 
 WIDTH, GRAM = 100, 32
+#: Windows of an often met anchor that are dealt together.
+SHARE = 16
 #: Bytes to which multikey quicksort goes.
 SHALLOW = 48
 
@@ -188,13 +193,17 @@ def _suffixes(cols):
                     seen.add(name)
                     put(key, here, p - base, x, y, around)
                 continue
-            for s in range(p - y, p - x + 1):
-                around = raw[s : s + WIDTH]
-                if around in seen:
-                    put(None, here, s - base, s + WIDTH - base, 0, None)
+            # an anchor met very often: its windows in shares, each by the bytes that all of a share have
+            for low in range(x - x % SHARE, y + 1, SHARE):
+                lo, hi = max(x, low), min(y, low + SHARE - 1)
+                around = raw[p - hi : p - lo + WIDTH]
+                name = around + bytes((lo, hi))
+                if name in seen:
+                    put(None, here, p - hi - base, p - lo + WIDTH - base, 0, None)
                 else:
-                    seen.add(around)
-                    put(xxhash.xxh64_intdigest(around) - (1 << 63), here, s - base, 0, 0, around)
+                    seen.add(name)
+                    core = raw[p - low : p - low - SHARE + 1 + WIDTH]
+                    put(xxhash.xxh64_intdigest(core, low) - (1 << 63), here, p - base, lo, hi, around)
     t = pa.int64()
     return pa.RecordBatch.from_arrays([pa.array(out["h"], t), pa.array(out["doc"], t), pa.array(out["p"], t), pa.array(out["lo"], t), pa.array(out["hi"], t), pa.array(out["ctx"], pa.binary())], names=["h", "doc_id", "p", "lo", "hi", "ctx"])
 
@@ -237,16 +246,32 @@ def resolve(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx: list[bytes]) ->
     return lost, p[lost] - most[lost], p[lost] - least[lost] + WIDTH
 
 
-def marks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = repeats.HOT) -> DataFrame:
     """doc_id, s, e: byte ranges covered by strings that start earlier, but for whole copies."""
-    lists = repeats.recurring(docs, _anchors, text, key)
+    lists = repeats.recurring(docs, _anchors, text, key, hot)
     gone = repeats.copies(docs, text, key)
     lists = lists.join(gone, "doc_id", "left_anti")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("t")).join(lists, "doc_id").select("doc_id", "t", "hs", "hot")
     found = table(map_chunks(rows, _suffixes, "h long, doc_id long, p long, lo long, hi long, ctx binary"), "suffixes")
     going = found.where("h is not null")
-    partners = going.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    dealt = going.join(partners, "h", "left_semi").repartition("h").sortWithinPartitions("h", "doc_id", "p")
+    partners = going.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("many"))
+    met = table(going.join(partners, "h"), "met")
+    dealt = met.where("not many").drop("many").repartition("h").sortWithinPartitions("h", "doc_id", "p")
+
+    def single(batches):
+        """Windows of suffixes that are too many for one task: w1, w2, doc_id, s."""
+        for b in batches:
+            out: list[list[int]] = [[], [], [], []]
+            for d, p, x, y, c in zip(*(b.column(k).to_pylist() for k in range(5))):
+                for back in range(x, y + 1):
+                    w = xxhash.xxh128_intdigest(c[y - back : y - back + WIDTH])
+                    for o, v in zip(out, ((w >> 64) - (1 << 63), (w & ((1 << 64) - 1)) - (1 << 63), d, p - back)):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["w1", "w2", "doc_id", "s"])
+
+    windows = met.where("many").select("doc_id", "p", "lo", "hi", "ctx").mapInArrow(single, "w1 long, w2 long, doc_id long, s long")
+    first = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
+    spread = windows.join(first, ["w1", "w2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
 
     def run(batches):
         held: list | None = None
@@ -270,7 +295,7 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             yield solve(held)
 
     more = dealt.mapInArrow(run, "doc_id long, s long, e long")
-    return found.where("h is null").select("doc_id", F.col("p").alias("s"), F.col("lo").alias("e")).unionAll(more)
+    return found.where("h is null").select("doc_id", F.col("p").alias("s"), F.col("lo").alias("e")).unionAll(more).unionAll(spread)
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -309,7 +334,8 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str
     whole, so the text stays UTF-8. A column ``length``, if there, is set to the new number of
     characters of texts that change. Null texts stay null; no row goes."""
     found = removed(docs, text, key).select(F.col("doc_id").alias("_id"), F.col("marks").alias("_marks"), F.col("copy").alias("_copy"))
-    joined = docs.join(found, docs[key] == F.col("_id"), "left").drop("_id")
+    joined = docs.join(found, docs[key] == found["_id"], "left").select(*(docs[c] for c in docs.columns), found["_marks"], found["_copy"])
+    joined = joined.toDF(*(f"c{k}" for k in range(len(docs.columns) + 2)))  # whatever the documents' columns are called
     at = docs.columns.index(text)
     names = docs.columns
     size = names.index(length) if length in names else None
