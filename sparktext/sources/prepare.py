@@ -1,7 +1,6 @@
 """Preparation of texts: FASTA, CSV and TSV, Japanese encodings, synthetic corpora."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +37,15 @@ def csv_texts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     return table_texts(spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"'))
 
 
-def decoded(spark: SparkSession, path: str, encoding: str = "MS932") -> DataFrame:
-    """path, text of files in another encoding (Windows' Japanese one unless told)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("text"))
+def decoded(spark: SparkSession, path: str, encoding: str = "cp932") -> DataFrame:
+    """path, text of files in another encoding (Windows' Japanese one unless told). Spark's own decoder
+    knows Unicode and Latin-1 only, so batches of files are decoded in Python."""
+
+    @F.pandas_udf("string")
+    def decode(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    return spark.read.format("binaryFile").load(path).select("path", decode("content").alias("text"))
 
 
 def synthetic(spark: SparkSession, block: str, size: int) -> DataFrame:
