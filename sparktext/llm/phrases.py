@@ -4,15 +4,17 @@ A window is ``WIDTH`` consecutive words of one document; a window whose word seq
 earlier (smaller doc_id, or earlier in the document) takes its words with it.
 
 Recurring phrases of ``GRAM`` words are confirmed first (see ``repeats``: sampled so that every
-recurring window holds one). Documents are then streamed in chunks. A chunk's documents and the
-confirmed phrases in them are one shard: its words become characters, its phrases are compiled to an
-Aho-Corasick automaton (pyahocorasick), and all the chunk's documents run through it, which finds every
-occurrence. Each document passes one automaton, however many phrases the corpus has. The windows around
-an occurrence are compared by their 128-bit hashes: those seen earlier in the chunk are marked at
-once, the others go out as (hash, place); Spark finds each window's first place by a partial
-aggregation and joins it back.
-
-Skew: copies of whole texts are settled by their hash before; a window comes out once per chunk.
+recurring window holds one, its anchor). Documents are then streamed in chunks. A chunk's documents and
+the confirmed phrases in them are one shard: words become letters, the phrases are compiled to
+Aho-Corasick automata (pyahocorasick) of at most ``PHRASES`` phrases, and the chunk's documents run
+through them, which finds every occurrence (confirmed by the phrase's hash). A document passes its chunk's automata only, however many
+phrases the corpus has. Each occurrence goes out once, with the hashes of the windows whose anchor
+it is; rows of one phrase meet in one task, which finds windows that were there before.
+
+Skew: copies of whole texts are settled by their hash before. A window comes out once per chunk: those
+seen earlier in the chunk are marked at once. Windows of a phrase met more than ``HOT`` times are dealt
+in shares of ``SHARE`` neighbours, by the words all of them have; what is still more than ``HOT`` rows
+of one name goes on as single windows, whose first places a partial aggregation finds.
 
 Edge cases: null texts have no words; rows with a null doc_id stay whole and mark nothing; rows that
 share a doc_id are taken for one document (ranges are cut to each row's length); texts shorter than a
@@ -34,6 +36,8 @@ from . import repeats
 from ._common import map_chunks, mix, table
 
 WIDTH, GRAM = 20, 8
+#: Phrases of an automaton, and windows of an often met phrase that are dealt together.
+PHRASES, SHARE = 200_000, 5
 
 
 class _Words:
@@ -62,106 +66,189 @@ def _anchors(texts: list[bytes]):
     return np.searchsorted(w.ends, at, "right"), repeats.gram_hashes(w.hash, GRAM)[at]
 
 
-def _window_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows of WIDTH words that start at these places."""
-    out = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        # 20 words: 16 and, overlapping, the last 16
-        g = repeats.gram_hashes(mix(h ^ np.uint64(seed)), 16)
-        out.append(mix(g[at] * np.uint64(0xD6E8FEB86659FD93) + g[at + WIDTH - 16]))
-    return out[0], out[1]
+def _window_hashes(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all runs of WIDTH words: the first 16 and, overlapping, the last 16."""
+    g = repeats.gram_hashes(h, 16)
+    return mix(g[: len(g) - WIDTH + 16] * np.uint64(0xC2B2AE3D27D4EB4F) + g[WIDTH - 16 :])
 
 
-def automaton(phrases: np.ndarray) -> ahocorasick.Automaton:
-    """The automaton of phrases given as rows of characters (code points)."""
+def automaton(phrases: set[str]) -> ahocorasick.Automaton:
+    """The automaton of phrases, a letter a word."""
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    width = phrases.shape[1]
-    text = _string(phrases.ravel())
-    for k in range(0, len(text), width):
-        auto.add_word(text[k : k + width])
+    for x in phrases:
+        auto.add_word(x)
     auto.make_automaton()
     return auto
 
 
-def _string(ids: np.ndarray) -> str:
-    """Word numbers as characters, without the code points of surrogates."""
-    c = ids.astype(np.uint32) + 1
-    c[c >= 0xD800] += 0x800
-    return c.tobytes().decode("utf-32-le")
+def occurrences(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where in a chunk's documents (word hashes) any of the phrases starts that stand at ``at``.
+
+    A word is read as one of eight letters, so the automaton has few branches at a node and phrases
+    share most of their upper nodes; what it finds is compared by the phrase's 64-bit hash.
+    """
+    text = ((hashes >> np.uint64(61)).astype(np.uint8) + 97).tobytes().decode("ascii")
+    grams = repeats.gram_hashes(hashes, GRAM)
+    names = sorted({text[p : p + GRAM] for p in at.tolist()})
+    found: list[int] = []
+    for k in range(0, len(names), PHRASES):
+        auto = automaton(set(names[k : k + PHRASES]))
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            if e - s >= WIDTH:
+                found += [s + end - GRAM + 1 for end, _ in auto.iter(text[s:e])]
+    hits = np.unique(np.array(found, np.int64))
+    return hits[np.isin(grams[hits], grams[at])]
 
 
-def _occurrences(w: _Words, phrases: np.ndarray) -> np.ndarray:
-    """Where, in the words of a chunk, any of the phrases starts."""
-    if not len(phrases):
-        return np.zeros(0, np.int64)
-    auto, found = automaton(np.unique(phrases, axis=0)), []
-    for s, e in zip(w.starts.tolist(), w.ends.tolist()):
-        if e - s >= WIDTH:
-            found += [s + end - GRAM + 1 for end, _ in auto.iter(_string(w.ids[s:e]))]
-    return np.array(found, np.int64)
+_OUT = "h long, doc_id long, p long, mask int, ws array<long>"
 
 
 def _windows(cols):
-    """Of a chunk: windows that go on as (w1, w2, doc_id, s), and marks settled in the chunk as
-    (w1 null, doc_id, s, e)."""
+    """Of a chunk: occurrences (h, doc_id, place, which windows by their words before the place as bits,
+    their hashes), and marks settled in the chunk: (h null, doc_id, start, words)."""
     order = sorted((k for k, t in enumerate(cols[1]) if t), key=lambda k: cols[0][k])
     w = _Words([cols[1][k] for k in order])
-    none = pa.RecordBatch.from_pydict({"w1": pa.array([], pa.int64()), "w2": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "e": pa.array([], pa.int64())})
-    if len(w.ids) < WIDTH:
-        return none
-    if len(w.known) > 1_000_000:
-        raise ValueError("a chunk has more words than there are characters")
-    at = repeats.Anchors(w.hash, w.ends, WIDTH, GRAM).at
-    doc = np.searchsorted(w.ends, at, "right")
-    h = repeats.gram_hashes(w.hash, GRAM)[at].view(np.int64)
-    cut, keep = np.searchsorted(doc, np.arange(len(order) + 1)), np.zeros(len(at), bool)
-    for k, src in enumerate(order):
-        s = slice(cut[k], cut[k + 1])
-        keep[s] = np.isin(h[s], np.array(cols[2][src], np.int64))
-    hits = _occurrences(w, w.ids[at[keep][:, None] + np.arange(GRAM)])
-    if not len(hits):
-        return none
-    # windows that hold an occurrence whole
-    mark = np.zeros(len(w.ids) + 1, np.int32)
-    np.add.at(mark, np.maximum(hits - (WIDTH - GRAM), 0), 1)
-    np.add.at(mark, hits + 1, -1)
-    start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    at, lists = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(w.ids) >= WIDTH:
+        a = repeats.Anchors(w.hash, w.ends, WIDTH, GRAM)
+        at = a.at
+        h = repeats.gram_hashes(w.hash, GRAM).view(np.int64)
+        doc = np.searchsorted(w.ends, at, "right")
+        cut, keep = np.searchsorted(doc, np.arange(len(order) + 1)), np.zeros(len(at), bool)
+        for k, src in enumerate(order):
+            s = slice(cut[k], cut[k + 1])
+            keep[s] = np.isin(h[at[s]], np.array(cols[2][src], np.int64))
+        hits = occurrences(w.hash, w.starts, w.ends, at[keep])
+        # occurrences that are the anchor of no window say nothing
+        at = np.intersect1d(hits, at, assume_unique=True)
+        lo, hi = a.windows(at)
+        lists = [x for src in order for x in cols[3][src]]
+    if not len(at):
+        t = pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array([], t), pa.array([], t), pa.array([], t), pa.array([], pa.int32()), pa.array([], pa.list_(t))], names=["h", "doc_id", "p", "mask", "ws"])
+    # all windows, in the order of their places; those seen before in the chunk are marked
+    many = np.maximum(hi - lo + 1, 0)
+    row = np.repeat(np.arange(len(at)), many)
+    back = np.repeat(hi, many) - (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    start = at[row] - back
+    ws = _window_hashes(w.hash)[start]
+    # (a window may have its anchor's phrase twice: it is told by its words before the place as well)
+    by = np.lexsort((start, back, ws, h[at[row]]))
+    same = _repeats(h[at[row]][by], ws[by], back[by])
+    again = np.zeros(len(row), bool)
+    again[by[same]] = True
     doc = np.searchsorted(w.ends, start, "right")
-    inside = start + WIDTH <= w.ends[doc]
-    start, doc = start[inside], doc[inside]
-    w1, w2 = _window_hashes(w.hash, start)
-    by = np.lexsort((start, w2, w1))
-    again = np.concatenate([[False], (w1[by][1:] == w1[by][:-1]) & (w2[by][1:] == w2[by][:-1])])
-    first = np.sort(by[~again])
     ids = np.array([cols[0][k] for k in order], np.int64)
-    # marked windows that follow each other are one range
-    m = np.sort(by[again])
-    s, d = start[m], doc[m]
-    new = np.concatenate([[True], (np.diff(s) > WIDTH) | (np.diff(d) != 0)]) if len(m) else np.zeros(0, bool)
+    # marked windows that overlap are one range
+    m, d = start[again], doc[again]
+    o = np.argsort(m, kind="stable")
+    m, d = m[o], d[o]
+    new = np.concatenate([[True], (np.diff(m) > WIDTH) | (np.diff(d) != 0)]) if len(m) else np.zeros(0, bool)
     last = np.append(np.flatnonzero(new)[1:] - 1, len(m) - 1) if len(m) else np.zeros(0, np.int64)
-    n, k = len(first), int(new.sum())
-    nulls = pa.nulls(k, pa.int64())
-    a, b = w1[first].view(np.int64), w2[first].view(np.int64)
+    # the others go out with their anchor; those of hot anchors in shares
+    row, back, start, ws, doc = row[~again], back[~again], start[~again], ws[~again].view(np.int64), doc[~again]
+    key = h[at[row]]
+    share = np.zeros(len(row), np.int64)
+    if len(lists):
+        hot = np.isin(key, np.unique(lists))
+        share[hot] = back[hot] // SHARE + 1
+        # the words that all windows of a share have, and which share it is
+        core = repeats.gram_hashes(w.hash, 16)
+        first = at[row[hot]] - (share[hot] - 1) * SHARE
+        key[hot] = mix(core[first] + share[hot].astype(np.uint64)).view(np.int64)
+    name = row * 16 + share
+    o = np.argsort(name, kind="stable")
+    name, row, back, ws, key = name[o], row[o], back[o], ws[o], key[o]
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(name) != 0])) if len(name) else np.zeros(0, np.int64)
+    mask = np.bitwise_or.reduceat(1 << back, begin).astype(np.int32) if len(begin) else np.zeros(0, np.int32)
+    owner = np.searchsorted(w.ends, at[row[begin]], "right")
+    n, k = len(begin), int(new.sum())
     base = w.starts
+    nulls = pa.array([None] * k, pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([pa.array(a), nulls]), pa.concat_arrays([pa.array(b), nulls]),
-        pa.array(np.concatenate([ids[doc[first]], ids[d[new]]])),
-        pa.array(np.concatenate([start[first] - base[doc[first]], s[new] - base[d[new]]])),
-        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(s[last] + WIDTH - base[d[last]])]) if k else pa.nulls(n, pa.int64()),
-    ], names=["w1", "w2", "doc_id", "s", "e"])
-
-
-def marks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        pa.concat_arrays([pa.array(key[begin]), pa.nulls(k, pa.int64())]),
+        pa.array(np.concatenate([ids[owner], ids[d[new]]])),
+        pa.array(np.concatenate([at[row[begin]] - base[owner], m[new] - base[d[new]]])),
+        pa.array(np.concatenate([mask, (m[last] + WIDTH - m[new]).astype(np.int32)])),
+        pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.append(begin, len(ws)).astype(np.int32)), pa.array(ws)), nulls]),
+    ], names=["h", "doc_id", "p", "mask", "ws"])
+
+
+def _repeats(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row is equal to the one before it."""
+    same = np.ones(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        same &= c[1:] == c[:-1]
+    return np.concatenate([np.zeros(min(1, len(columns[0])), bool), same])
+
+
+def _flat(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, words before the place) of each window of rows with these bits, most words first."""
+    bits = (mask[:, None] >> np.arange(WIDTH - GRAM, -1, -1)) & 1
+    row, k = np.nonzero(bits)
+    return row, WIDTH - GRAM - k
+
+
+def resolve(h: np.ndarray, doc: np.ndarray, p: np.ndarray, mask: np.ndarray, ws: np.ndarray):
+    """(doc_id, s, e) of windows that an earlier row has; rows of one h, doc_id and place in order."""
+    row, back = _flat(mask)
+    by = np.lexsort((row, back, ws, h[row]))
+    lost = by[_repeats(h[row][by], ws[by], back[by])]
+    least, most = np.full(len(h), WIDTH), np.full(len(h), -1)
+    np.minimum.at(least, row[lost], back[lost])
+    np.maximum.at(most, row[lost], back[lost])
+    # windows of one anchor all hold it, so what they cover is one range
+    at = np.flatnonzero(most >= 0)
+    return doc[at], p[at] - most[at], p[at] - least[at] + WIDTH
+
+
+def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = repeats.HOT) -> DataFrame:
     """doc_id, s, e: word ranges covered by windows that start earlier, but for whole copies."""
-    lists = repeats.recurring(docs, _anchors, text, key)
+    lists = repeats.recurring(docs, _anchors, text, key, hot)
     gone = repeats.copies(docs, text, key)
-    lists = lists.select("doc_id", "hs").join(gone, "doc_id", "left_anti")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("t")).join(lists, "doc_id").select("doc_id", "t", "hs")
-    found = table(map_chunks(rows, _windows, "w1 long, w2 long, doc_id long, s long, e long"), "windows")
-    going = found.where("w1 is not null").select("w1", "w2", "doc_id", "s")
-    first = going.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1").select("w1", "w2", "f")
-    lost = going.join(first, ["w1", "w2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s")))
-    return found.where("w1 is null").select("doc_id", "s", "e").unionAll(lost.select("doc_id", "s", (F.col("s") + WIDTH).alias("e")))
+    lists = lists.join(gone, "doc_id", "left_anti")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("t")).join(lists, "doc_id").select("doc_id", "t", "hs", "hot")
+    found = table(map_chunks(rows, _windows, _OUT), "occurrences")
+    going = found.where("h is not null")
+    partners = going.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("many"))
+    met = table(going.join(partners, "h"), "met")
+    dealt = met.where("not many").drop("many").repartition("h").sortWithinPartitions("h", "doc_id", "p")
+
+    def run(batches):
+        held: list | None = None
+
+        def solve(cols):
+            d, s, e = resolve(*cols[:4], np.concatenate(cols[4]))
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "s", "e"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists_ = b.column(4)
+            flat, off = lists_.flatten().to_numpy(), np.asarray(lists_.offsets)
+            cols = [c.to_numpy() for c in b.columns[:4]] + [np.split(flat, (off[1:-1] - off[0]).tolist())]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4]]
+            # the last phrase's group may go on in the next batch
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield solve([c[:cut] for c in cols])
+        if held is not None:
+            yield solve(held)
+
+    def single(batches):
+        """Windows of rows that are too many for one task."""
+        for b in batches:
+            row, back = _flat(b.column(3).to_numpy())
+            h, d, p = (b.column(k).to_numpy()[row] for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(4).flatten()), pa.array(back), pa.array(d), pa.array(p - back)], names=["h", "w", "back", "doc_id", "s"])
+
+    windows = met.where("many").drop("many").mapInArrow(single, "h long, w long, back long, doc_id long, s long")
+    first = windows.groupBy("h", "w", "back").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
+    spread = windows.join(first, ["h", "w", "back"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
+    settled = found.where("h is null").select("doc_id", F.col("p").alias("s"), (F.col("p") + F.col("mask")).alias("e"))
+    return settled.unionAll(dealt.mapInArrow(run, "doc_id long, s long, e long")).unionAll(spread)
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
