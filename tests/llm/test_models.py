@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from sparktext.llm import hmm, langid, licenses, quality, rules
 
@@ -78,7 +79,8 @@ def test_forward_and_counts_equal_enumeration():
 def test_scores_form_a_distribution():
     """Emissions of all words of a class, its unknown word included, sum to the class' own."""
     counts, head = {b"the": 50, b"nation": 3, b"station": 2, b"x": 1}, [b"the"]
-    cls = hmm.Classes(head).of(list(counts))
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in counts], np.uint64).view(np.int64)
+    cls = hmm.Classes(head).of(hashes, np.array([zlib.crc32(w[-3:]) % hmm.TAIL for w in counts]))
     mass = np.zeros(hmm.Classes.size)
     np.add.at(mass, cls, np.array(list(counts.values())) + 0.1)
     mass += 0.1
