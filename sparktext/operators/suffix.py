@@ -21,25 +21,34 @@ MAX_SHARD = 64 << 20
 
 
 def by_doubling(data: bytes) -> np.ndarray:
-    """Sorted suffix starts of ``data`` followed by a sentinel below all bytes: ranks of the first 8 bytes,
-    then of twice as many each round."""
+    """Sorted suffix starts of ``data`` followed by a sentinel below all bytes: sorted by the first seven
+    bytes, then groups that are still equal by the ranks of what follows, twice as far each round."""
     n = len(data) + 1
-    s = np.zeros(n + 8, np.uint64)
+    s = np.zeros(n + 7, np.uint64)
     s[: n - 1] = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     # seven characters of 9 bits each fit one integer
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | s[k : k + n]
-    rank, gap = np.unique(key, return_inverse=True)[1].astype(np.int64), 7
-    while True:
-        if rank.max() == n - 1:
-            out = np.empty(n, np.int64)
-            out[rank] = np.arange(n)
-            return out
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - gap)] = rank[gap:] + 1
-        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    at = np.flatnonzero(~(first & np.append(first[1:], True)))  # places in groups of two or more
+    gap = 7
+    while len(at):
+        idx = order[at]
+        own, after = rank[idx], idx + gap
+        nxt = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
+        by = np.lexsort((nxt, own))
+        idx, own, nxt = idx[by], own[by], nxt[by]
+        order[at] = idx
+        first = np.concatenate([[True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])])
+        rank[idx] = np.maximum.accumulate(np.where(first, at, 0))
+        at = at[~(first & np.append(first[1:], True))]
         gap *= 2
+    return order
 
 
 def by_induced_sorting(data: bytes) -> np.ndarray:
@@ -122,6 +131,23 @@ def suffix_table(texts: DataFrame, shard: str = "doc_id", body: str = "body", al
     return rows.mapInArrow(run, "shard long, rank long, pos long, bwt short")
 
 
+def summaries(texts: DataFrame, shard: str = "doc_id", body: str = "body", algorithm: str = "sais") -> DataFrame:
+    """shard, sa_len, runs, alphabet_size of each row's index, without its rows leaving the task."""
+    kernel = KERNELS[algorithm]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for value in b.column(1).to_pylist():
+                data = value or b""
+                bwt = np.append(np.frombuffer(data, np.uint8), 0).astype(np.int16)[kernel(data) - 1]
+                out.append((len(bwt), int((bwt[1:] != bwt[:-1]).sum()) + 1, len(np.unique(bwt))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.int64()) for k in range(3))], names=["shard", "sa_len", "runs", "alphabet_size"])
+
+    rows = texts.select(F.col(shard).cast("long").alias("shard"), F.col(body).alias("body"))
+    return rows.mapInArrow(run, "shard long, sa_len long, runs long, alphabet_size long")
+
+
 def one_shard(corpus: Corpus) -> DataFrame:
     """The whole corpus as one row (shard 0); refused beyond ``MAX_SHARD`` bytes."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", (view(F.concat("body", "tail"))).alias("t")))), lambda x: x["t"]), "")

@@ -265,6 +265,21 @@ def suffix_array(spark, sf):
     return _parts_sa(spark, sf).select("shard", "rank", "pos")
 
 
+@query()
+def document_indexes(spark, sf):
+    """An index of each whole document: its length, runs and alphabet."""
+    docs = _read(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one small file: spread it, so that all cores sort
+        docs = docs.repartition(4 * cores)
+    return suffix.summaries(docs.select("doc_id", F.encode("text", "UTF-8").alias("body")))
+
+
+@query(_PARTS + ", m AS (SELECT shard, count(*) AS sa_len, count(DISTINCT byte) AS alphabet_size, CAST(sum(new) AS BIGINT) AS runs FROM (SELECT *, CASE WHEN byte = lag(byte) OVER (PARTITION BY shard ORDER BY rank) THEN 0 ELSE 1 END AS new FROM sa) GROUP BY shard) SELECT shard, sa_len, runs, alphabet_size FROM m")
+def part_indexes(spark, sf):
+    return suffix.summaries(_part_names(spark, sf))
+
+
 @query(_REGIONS + "SELECT shard, rank, pos FROM sa")
 def suffix_array_induced(spark, sf):
     return suffix.suffix_table(_region_names(spark, sf), algorithm="sais-reference").select("shard", "rank", "pos")
