@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "dataset string, dataset_bytes long, algo string, occ string, backend string, query_type string, query string, search_mode string, build_elapsed_sec double, build_peak_rss_kb long, index_bytes long, search_elapsed_ms double, search_p50_ms double, search_p95_ms double, search_peak_rss_kb long, hits long, run_id string"
@@ -31,3 +31,12 @@ def best(records: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
 def amortisation(build_sec: Column, scan_ms: Column, index_ms: Column) -> Column:
     """Queries after which building an index pays."""
     return build_sec * 1000 / (scan_ms - index_ms)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Benchmark records as CSV with a header, columns in the order of RECORD."""
+    records.select(*(c.split()[0] for c in RECORD.split(", "))).write.mode("overwrite").csv(path, header=True)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, schema=RECORD, header=True)

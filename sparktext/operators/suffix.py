@@ -198,3 +198,39 @@ def lf(sa: DataFrame) -> DataFrame:
 def full_index(spark: SparkSession, corpus: Corpus, algorithm: str = "sais") -> DataFrame:
     """Suffix table of a small corpus as one shard."""
     return suffix_table(one_shard(corpus), "shard", "body", algorithm)
+
+
+def sa_at(sa: DataFrame, rank: int) -> DataFrame:
+    """shard, pos of the suffix of a rank."""
+    return sa.where(F.col("rank") == rank).select("shard", "pos")
+
+
+def lengths(sa: DataFrame) -> DataFrame:
+    """shard, sa_len, text_len."""
+    return sa.groupBy("shard").agg(F.count("*").alias("sa_len")).withColumn("text_len", F.col("sa_len") - 1)
+
+
+def c_value(sa: DataFrame, byte: int) -> DataFrame:
+    """shard, c: places of the transform with a smaller byte, whether or not the byte is there."""
+    return sa.groupBy("shard").agg(F.count_if(F.col("bwt") < byte).alias("c"))
+
+
+def occ_count(sa: DataFrame, byte: int, i: int) -> DataFrame:
+    """shard, n: how often a byte is among the first i places of the transform."""
+    return sa.groupBy("shard").agg(F.count_if((F.col("bwt") == byte) & (F.col("rank") < i)).alias("n"))
+
+
+def merge_intervals(intervals: DataFrame) -> DataFrame:
+    """shard, lo, hi: half-open intervals joined where they overlap or touch; empty ones go."""
+    w = Window.partitionBy("shard").orderBy("lo", "hi")
+    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.where("lo < hi").withColumn("new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1)))
+    return marked.withColumn("run", F.sum("new").over(w)).groupBy("shard", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
+def positions_of(sa: DataFrame, intervals: DataFrame) -> DataFrame:
+    """shard, pos of all suffixes in the intervals, each once. Intervals are narrow and few; ranks of one
+    shard are met by an equi-join on the shard's blocks of ranks, not by comparing all with all."""
+    size = 4096
+    spread = merge_intervals(intervals).withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
+    return sa.withColumn("block", F.floor(F.col("rank") / size)).join(spread, ["shard", "block"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("shard", "pos")

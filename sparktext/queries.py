@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .functions.byteview import one_line
 from .functions.options import Storage
-from .operators import bidirectional, explain, graph, occ, suffix
+from .operators import bidirectional, bits, explain, graph, occ, suffix
 from .operators import search as ops
 from .plans import regex as rx
 from .sources import catalog, prepare
@@ -348,6 +348,38 @@ def _fixture(spark: SparkSession, text: bytes) -> DataFrame:
     return suffix.suffix_table(spark.createDataFrame([(0, bytearray(text))], "doc_id long, body binary")).cache()
 
 
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)), (1, 1, 0), (2, 2, 0), (63, 2, 61), (64, 3, 61), (65, 4, 61), (66, 5, 61), (130, 6, 124)) t(i, rank1, rank0)")
+def bitvector_ranks(spark, sf):
+    """A vector of 130 bits that is made by edits: ones at 0, 1, 63, 64, 65 and 129."""
+    v = bits.vector(spark, [0] * 129)
+    for place in (0, 62, 63, 64, 128):
+        v = bits.set_bit(v, place)
+    v = bits.delete_bit(bits.insert_bit(bits.insert_bit(v, 1, 1), 40, 1), 40)
+    return bits.ranks(v, [0, 1, 2, 63, 64, 65, 66, 130])
+
+
+@query("""WITH e AS (SELECT user_id % 7 AS shard, event_id % 5000 AS lo, event_id % 5000 + CAST(floor(value) AS BIGINT) % 9 AS hi FROM events),
+m AS (SELECT shard, lo, hi, CASE WHEN lo <= max(hi) OVER (PARTITION BY shard ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM e WHERE lo < hi),
+r AS (SELECT shard, lo, hi, sum(new) OVER (PARTITION BY shard ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT shard, min(lo) AS lo, max(hi) AS hi FROM r GROUP BY shard, run""")
+def interval_merge(spark, sf):
+    e = _read(spark, sf, "events").select((F.col("user_id") % 7).alias("shard"), (F.col("event_id") % 5000).alias("lo"), (F.col("event_id") % 5000 + F.floor("value") % 9).alias("hi"))
+    return suffix.merge_intervals(e)
+
+
+@query(_PARTS + ", n AS (SELECT shard, count(*) AS sa_len FROM sa GROUP BY shard) SELECT shard, pos FROM sa WHERE rank IN (1, 2, 3, 5)")
+def interval_positions(spark, sf):
+    sa = _parts_sa(spark, sf)
+    some = sa.select("shard").distinct().select("shard", F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for a, b in ((1, 3), (2, 4), (5, 6), (7, 7))))).alias("x"))
+    return suffix.positions_of(sa, some.select("shard", "x.lo", "x.hi"))
+
+
+@query(_PARTS + "SELECT shard, CAST(sum(CASE WHEN byte < 110 THEN 1 ELSE 0 END) AS BIGINT) AS c, CAST(sum(CASE WHEN byte = 110 AND rank < 6 THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) - 1 AS text_len FROM sa GROUP BY shard")
+def index_accessors(spark, sf):
+    sa = _parts_sa(spark, sf)
+    return suffix.c_value(sa, 110).join(suffix.occ_count(sa, 110, 6), "shard").join(suffix.lengths(sa).drop("sa_len"), "shard")
+
+
 @query("SELECT * FROM (VALUES (0, CAST(1 AS BIGINT), CAST(6 AS BIGINT)), (1, 10, 12), (2, 6, 8), (3, 2, 4)) t(step, lo, hi)")
 def backward_search_trace(spark, sf):
     trace = bidirectional.backward_search(_fixture(spark, b"abracadabra"), b"abra")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktext import cli
 from sparktext.functions import options, stats
 from sparktext.functions.byteview import one_line
-from sparktext.operators import bidirectional, explain, graph, occ, suffix
+from sparktext.operators import bidirectional, bits, explain, graph, occ, suffix
 from sparktext.operators import search as ops
 from sparktext.plans import regex as rx
 from sparktext.sources import catalog, prepare
@@ -117,6 +117,39 @@ def test_rank_encodings(spark, encoding):
     assert got == {(b, i): sum(x == b for x in bwt[: max(0, min(i, 151))]) for _, b, i in asked}
 
 
+def test_bit_edits(spark):
+    bits_, v = [], bits.vector(spark, [])
+    for place, bit in ((0, 1), (1, 0), (1, 1), (3, 1), (2, 0)):
+        bits_.insert(place, bit)
+        v = bits.insert_bit(v, place, bit)
+    for edit in ("delete 1", "insert 2", "delete 0"):
+        if edit == "insert 2":
+            bits_.insert(2, 1)
+            v = bits.insert_bit(v, 2, 1)
+        else:
+            del bits_[int(edit[-1])]
+            v = bits.delete_bit(v, int(edit[-1]))
+    v = bits.set_bit(v, 0, 0)
+    bits_[0] = 0
+    assert [r["bit"] for r in v.orderBy("place").collect()] == bits_
+    got = {r["i"]: (r["rank1"], r["rank0"]) for r in bits.ranks(v, [-1, 0, 2, 4, 99]).collect()}
+    assert got == {i: (sum(bits_[: max(0, i)]), len(bits_[: max(0, i)]) - sum(bits_[: max(0, i)])) for i in (-1, 0, 2, 4, 99)}
+
+
+def test_intervals(spark):
+    rows = [(0, 1, 3), (0, 3, 4), (0, 6, 6), (0, 9, 12), (0, 8, 10), (1, 0, 1)]
+    got = suffix.merge_intervals(spark.createDataFrame(rows, "shard long, lo long, hi long")).collect()
+    assert sorted((r["shard"], r["lo"], r["hi"]) for r in got) == [(0, 1, 4), (0, 8, 12), (1, 0, 1)]
+    sa = suffix.full_index(spark, one(spark, "banana"))
+    assert suffix.sa_at(sa, 2).first()["pos"] == 3 and suffix.c_value(sa, 110).first()["c"] == 5
+
+
+def test_record_files(spark, tmp_path):
+    row = ("d", 1, "sais", "rlbwt", "fm", "exact", "q", "warm", 1.5, 2, 3, 4.0, 5.0, 6.0, 7, 8, "r1")
+    stats.write_records(spark.createDataFrame([row], stats.RECORD), str(tmp_path / "r"))
+    assert tuple(stats.read_records(spark, str(tmp_path / "r")).first()) == row
+
+
 def test_bidirectional(spark):
     text = b"abracadabra"
     bi = bidirectional.BiIndex(*(suffix.suffix_table(spark.createDataFrame([(0, bytearray(t))], "doc_id long, body binary")).cache() for t in (text, text[::-1])))
