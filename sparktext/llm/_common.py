@@ -4,6 +4,7 @@ tables, bounded chunks of Arrow batches and hashing of tokens."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -15,13 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker gathers before it works on them together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _scratch: "weakref.WeakKeyDictionary[object, list[str]]" = weakref.WeakKeyDictionary()
 
 
+#: Bytes of a batch that goes to a Python worker at once (rows are never cut).
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as by rows: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -55,6 +69,7 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives
     lost executors. The files go when the session's Python process ends."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/sparktext-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.options(compression="zstd", **options).parquet(path)
@@ -106,6 +121,29 @@ def chunks(batches: Iterator[pa.RecordBatch], size_of: int, limit: int = CHUNK_B
         yield held
 
 
+def relax() -> None:
+    """Give memory that is free again back to the system: workers live on between tasks, and what one
+    operator needed at its peak would be missing for the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with bounded batches that leaves no free memory behind in its workers."""
+    bound_batches(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            relax()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_chunks(df: DataFrame, fn: Callable[[list[list]], pa.RecordBatch | None], schema: str, size_of: int = 1, limit: int = CHUNK_BYTES) -> DataFrame:
     """Run ``fn`` on bounded chunks of ``df`` in Arrow batches."""
 
@@ -115,7 +153,7 @@ def map_chunks(df: DataFrame, fn: Callable[[list[list]], pa.RecordBatch | None],
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

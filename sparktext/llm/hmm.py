@@ -27,11 +27,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, table
+from ._common import chunks, map_arrow, table
 
 HEAD = 4096
 TAIL = 4096
@@ -42,18 +43,27 @@ SEGMENT = 512
 BLOCK_BYTES = 16 << 20
 END = b""
 
-_BLOCK = "block long, words array<binary>, n array<long>, ids array<long>, held array<boolean>, share array<int>, codes array<binary>"
+
+
+def _columns(shares: int) -> list[tuple[str, pa.DataType, str]]:
+    """Columns of a block. Group g < shares are training documents of that share, the last group those
+    that are held out; a training step reads its own group only."""
+    fixed = [("block", pa.int64(), "long"), ("words", pa.list_(pa.binary()), "array<binary>"), ("n", pa.list_(pa.int64()), "array<long>"), ("hash", pa.list_(pa.int64()), "array<long>"), ("tail", pa.list_(pa.int32()), "array<int>")]
+    return fixed + [c for g in range(shares + 1) for c in ((f"ids{g}", pa.list_(pa.int64()), "array<long>"), (f"codes{g}", pa.list_(pa.binary()), "array<binary>"))]
 
 
 def encode(docs: DataFrame, folds: int = 10, shares: int = SHARES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Blocks of documents: the block's words with their training counts; its documents' ids, whether
-    they are held out, their share, and their tokens as indices of the words."""
+    """Blocks of documents: the block's words with their training counts, hashes and tail classes; per
+    group its documents' ids and their tokens as indices of the words."""
     crc = F.crc32(F.col(key).cast("string"))
-    rows = docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8"), F.coalesce(crc % folds == 0, F.lit(False)), F.coalesce(F.floor(crc / folds) % shares, F.lit(0)).cast("int"))
+    group = F.when(crc % folds == 0, F.lit(shares)).otherwise(F.floor(crc / folds) % shares)
+    rows = docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8"), F.coalesce(group, F.lit(0)).cast("int"))
+    columns = _columns(shares)
 
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
-        for ids, texts, held, share in chunks(batches, 1, BLOCK_BYTES):
+        crc32, h64 = zlib.crc32, xxhash.xxh64_intdigest
+        for ids, texts, groups in chunks(batches, 1, BLOCK_BYTES):
             words: dict[bytes, int] = {END: 0}
             add, codes = words.setdefault, []
             for t in texts:
@@ -61,17 +71,16 @@ def encode(docs: DataFrame, folds: int = 10, shares: int = SHARES, text: str = "
                 c = [add(x, len(words)) for x in w]
                 c.append(0)
                 codes.append(np.array(c, "<i4"))
-            n = np.zeros(len(words), np.int64)
-            for c, h in zip(codes, held):
-                if not h:
-                    n += np.bincount(c, minlength=len(n)) if len(c) * 50 > len(n) else 0
-                    if len(c) * 50 <= len(n):
-                        np.add.at(n, c, 1)
-            one = lambda v, t: pa.array([v], pa.list_(t))
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | count]), one(list(words), pa.binary()), one(n, pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(share, pa.int32()), one([c.tobytes() for c in codes], pa.binary())], names=["block", "words", "n", "ids", "held", "share", "codes"])
+            train = [c for c, g in zip(codes, groups) if g < shares]
+            n = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), np.int64)
+            row = [(part << 32) | count, list(words), n, np.array([h64(w) for w in words], np.uint64).view(np.int64), np.array([crc32(w[-3:]) % TAIL for w in words], np.int32)]
+            for g in range(shares + 1):
+                mine = [k for k, x in enumerate(groups) if x == g]
+                row += [[ids[k] for k in mine], [codes[k].tobytes() for k in mine]]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t, _) in zip(row, columns)], names=[c[0] for c in columns])
             count += 1
 
-    return rows.mapInArrow(run, _BLOCK)
+    return map_arrow(rows, run, ", ".join(f"{n} {t}" for n, _, t in columns))
 
 
 class Classes:
@@ -80,11 +89,18 @@ class Classes:
     size = HEAD + TAIL
 
     def __init__(self, head: list[bytes]):
-        self.head = {w: k for k, w in enumerate(head)}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get, crc = self.head.get, zlib.crc32
-        return np.array([k if (k := get(w)) is not None else HEAD + crc(w[-3:]) % TAIL for w in words], np.int32)
+        h = np.array([xxhash.xxh64_intdigest(w) for w in head], np.uint64).view(np.int64)
+        self.order = np.argsort(h, kind="stable")
+        self.hashes = h[self.order]
+
+    def of(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """Classes of words given by their hashes and tail classes."""
+        out = tails.astype(np.int32) + HEAD
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            out[hit] = self.order[at[hit]]
+        return out
 
 
 class HiddenMarkov:
@@ -174,6 +190,11 @@ class HiddenMarkov:
         return start, move, emission
 
 
+def _sequences(codes: pa.ListScalar) -> list[np.ndarray]:
+    """Word indices of each document of a group."""
+    return [np.frombuffer(x.as_buffer(), "<i4") for x in codes.values]
+
+
 def _segments(codes: np.ndarray) -> list[np.ndarray]:
     return [codes[k : k + SEGMENT] for k in range(0, len(codes), SEGMENT)]
 
@@ -187,20 +208,19 @@ def expected_counts(blocks: DataFrame, model: HiddenMarkov, classes: Classes, sh
         m, c = held.value
         sums = None
         for b in batches:
-            for words, out, part, codes in zip(*(b.column(k) for k in range(4))):
-                use = [k for k, (h, s) in enumerate(zip(out.as_py(), part.as_py())) if not h and s == share]
-                if not use:
+            for k in range(b.num_rows):
+                hashes, tails, codes = (b.column(j)[k] for j in range(3))
+                if not len(codes):
                     continue
-                cls = c.of(words.as_py())
-                seqs = [x for k in use for x in _segments(cls[np.frombuffer(codes.values[k].as_buffer(), "<i4")])]
-                got = m.expect(seqs)
+                cls = c.of(hashes.values.to_numpy(), tails.values.to_numpy())
+                got = m.expect([x for s in _sequences(codes) for x in _segments(cls[s])])
                 sums = got if sums is None else [a + g for a, g in zip(sums, got)]
         if sums is not None:
             for kind, x in enumerate((sums[0][None, :], sums[1], sums[2])):
                 i, j = np.nonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(x[i, j])], names=["kind", "i", "j", "x"])
 
-    rows = blocks.select("words", "held", "share", "codes").mapInArrow(run, "kind int, i int, j int, x double").groupBy("kind", "i", "j").agg(F.sum("x").alias("x")).toArrow()
+    rows = map_arrow(blocks.select("hash", "tail", f"codes{share}"), run, "kind int, i int, j int, x double").groupBy("kind", "i", "j").agg(F.sum("x").alias("x")).toArrow()
     return [rows.column(k).to_numpy() for k in range(4)]
 
 
@@ -269,24 +289,31 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, shares: int =
     def row(block, parts):
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.concatenate(parts).astype("<i8").tobytes()], pa.binary())], names=["block", "c"])
 
-    packed = sorted_.mapInArrow(pack, "block long, c binary")
-    rows = blocks.join(packed, "block").select("words", "c", "ids", "held", "codes")
+    packed = map_arrow(sorted_, pack, "block long, c binary")
+    groups = [c for g in range(shares + 1) for c in (f"ids{g}", f"codes{g}")]
+    rows = blocks.select("block", "hash", "tail", *groups).join(packed, "block").select("hash", "tail", "c", *groups)
     given = spark.sparkContext.broadcast((model, classes, mass, int(total), int(kinds)))
 
     def run(batches):
         m, cl, mass, n_all, v = given.value
         lmass, base_all = np.log10(mass), np.log10(n_all + 0.1 * (v + 1))
         for b in batches:
-            for words, cs, ids, held, codes in zip(*(b.column(k) for k in range(5))):
-                cls = cl.of(words.as_py())
-                c = np.frombuffer(cs.as_buffer(), "<i8")
+            for k in range(b.num_rows):
+                cls = cl.of(b.column(0)[k].values.to_numpy(), b.column(1)[k].values.to_numpy())
+                c = np.frombuffer(b.column(2)[k].as_buffer(), "<i8")
                 lc = np.log10(c + 0.1)
                 inner = lc - lmass[cls]
-                seqs = [np.frombuffer(codes.values[k].as_buffer(), "<i4") for k in range(len(codes.values))]
+                ids, seqs, out = [], [], []
+                for g in range(shares + 1):
+                    ids += b.column(3 + 2 * g)[k].as_py()
+                    seqs += _sequences(b.column(4 + 2 * g)[k])
+                    out += [g == shares] * (len(seqs) - len(out))
+                if not seqs:
+                    continue
                 size = np.array([len(s) for s in seqs])
                 known = np.array([int((c[s] > 0).sum()) for s in seqs])
                 base = np.array([lc[s].sum() for s in seqs]) - size * base_all
                 value = m.forward([cls[s] for s in seqs]) + np.array([inner[s].sum() for s in seqs])
-                yield pa.RecordBatch.from_arrays([ids.values, held.values, pa.array(size), pa.array(known), pa.array(np.full(len(size), n_all, np.int64)), pa.array(base), pa.array(value)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out), pa.array(size), pa.array(known), pa.array(np.full(len(size), n_all, np.int64)), pa.array(base), pa.array(value)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
