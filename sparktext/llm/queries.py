@@ -48,7 +48,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, quality.graded(read(spark, sf_dir, "labels")))
-    return quality.score(docs, model)
+    return quality.score(docs, model).withColumnRenamed("selected", "kept")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,10 @@
 Each rule rejects a document whose statistic is at or beyond a cutoff. Cutoffs are selected on
 labelled holdout documents (label 1: good): per stratum and rule, the strictest cutoff of a fixed
 grid whose share of rejected good documents is below ``risk`` with exact binomial (Clopper-Pearson)
-confidence. The error probability ``delta`` is split over all strata, rules and grid points that
-are tested (Bonferroni), so with probability 1 - delta no chosen cutoff is beyond its risk. Grid
-points are tested from lenient to strict (fixed sequence) and testing stops at the first failure,
-which needs no further correction within a rule.
+confidence. The error probability ``delta`` is split over all strata and rules (Bonferroni), so with
+probability 1 - delta no chosen cutoff is beyond its risk. Within a stratum and rule, grid points are
+tested from lenient to strict (fixed sequence) and testing stops at the first failure, which needs no
+further correction.
 
 Documents are measured in one pass; holdout counts are summed by Spark per stratum, rule and grid
 point, a table whose size is fixed but for the strata. A stratum with too few labelled documents
