@@ -121,9 +121,19 @@ def chunks(batches: Iterator[pa.RecordBatch], size_of: int, limit: int = CHUNK_B
         yield held
 
 
+#: What a worker drops at the end of each task: caches that another operator's tasks would carry along.
+_at_end: list[Callable[[], None]] = []
+
+
+def at_task_end(drop: Callable[[], None]) -> None:
+    _at_end.append(drop)
+
+
 def relax() -> None:
-    """Give memory that is free again back to the system: workers live on between tasks, and what one
-    operator needed at its peak would be missing for the next."""
+    """Drop caches and give memory that is free again back to the system: workers live on between
+    tasks, and what one operator needed at its peak would be missing for the next."""
+    for drop in _at_end:
+        drop()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

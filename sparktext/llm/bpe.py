@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_chunks
+from ._common import at_task_end, map_arrow, map_chunks
 
 #: States that a worker makes, and pieces of each of the two generations it keeps.
 MAX_STATES = 20_000
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 
 
 def load_ranks(lines) -> dict[bytes, int]:
@@ -89,7 +89,7 @@ class MergeTransducer:
         key = left << 32 | right
         v = self._valid.get(key)
         if v is None:
-            if len(self._valid) > 1_000_000:
+            if len(self._valid) > 300_000:
                 self._valid.clear()
             if left < 0:
                 v = len(self.bytes_of[right]) == 1 or self.parts(right) is not None
@@ -304,6 +304,9 @@ def _coder(name: str, data: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(load_ranks(data.splitlines()), pattern)
 
 
+at_task_end(_coder.cache_clear)
+
+
 class Vocabulary:
     """What executors need of a tokenizer: its file's bytes (a fixed file of about 1 MB) and pattern."""
 
@@ -344,7 +347,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", key: str =
                 texts.append("".join(c.decode("utf-8", "replace") for c in coder.decode(v)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return rows.select(F.col(key).cast("long"), F.col(ids)).mapInArrow(run, f"{key} long, text string")
+    return map_arrow(rows.select(F.col(key).cast("long"), F.col(ids)), run, f"{key} long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_chunks
+from ._common import map_arrow, map_chunks
 
 SLICE_BYTES = 16 << 20
 
@@ -241,4 +241,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
                 keep = (n_items < min_items) | (hit < min_share * counts)
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._common import map_chunks, mix, table
+from ._common import map_arrow, map_chunks, mix, table
 
 WIDTH, GRAM = 20, 8
 #: Phrases of an automaton, and windows of an often met phrase that are dealt together.
@@ -244,11 +244,11 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
             h, d, p = (b.column(k).to_numpy()[row] for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(4).flatten()), pa.array(back), pa.array(d), pa.array(p - back)], names=["h", "w", "back", "doc_id", "s"])
 
-    windows = met.where("many").drop("many").mapInArrow(single, "h long, w long, back long, doc_id long, s long")
+    windows = map_arrow(met.where("many").drop("many"), single, "h long, w long, back long, doc_id long, s long")
     first = windows.groupBy("h", "w", "back").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
     spread = windows.join(first, ["h", "w", "back"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
     settled = found.where("h is null").select("doc_id", F.col("p").alias("s"), (F.col("p") + F.col("mask")).alias("e"))
-    return settled.unionAll(dealt.mapInArrow(run, "doc_id long, s long, e long")).unionAll(spread)
+    return settled.unionAll(map_arrow(dealt, run, "doc_id long, s long, e long")).unionAll(spread)
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

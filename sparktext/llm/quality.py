@@ -9,9 +9,9 @@ not depend on partitions; their features (not texts) come to the driver. Weights
 (``DIMS``) and are broadcast. Scoring is one pass over whole texts without a shuffle.
 
 Edge cases: null texts and texts without a word have no features, expected grade 0, tail 0 and are
-not selected; labels with nulls count as their good value is unknown and are left out; repeated
-labels count by the lower grade; without labels (or with one grade only) thresholds fall to a prior and
-every document with a word is selected. Extra columns are ignored.
+not selected; labels whose grade a null leaves open are left out; repeated labels count by the lower
+grade; without labels, or with labels of one grade, weights are zero and the thresholds follow the grades'
+counts (one added to each), so all documents with a word get the same score. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_chunks
+from ._common import map_arrow, map_chunks
 
 #: Labelled documents that the fit uses at most.
 SAMPLE = 12_000
@@ -183,4 +183,4 @@ def select(docs: DataFrame, model: OrdinalModel, tail: float = 0.5, text: str =
                 texts = [t.encode() if t is not None else None for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(judge(texts)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

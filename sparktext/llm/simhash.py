@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_chunks, mix, table
+from ._common import map_arrow, map_chunks, mix, table
 
 #: The fixed generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -122,10 +122,10 @@ def _segments(fp: np.ndarray):
 def wide_keys(fp: np.ndarray, size: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) by the indices of two segments and the text's length: words of two segments may
     differ in two bits each and mostly meet beyond that, so these keys find links at more bits than
-    ``keys_of`` is sure of. Lengths fall in classes of a factor of 1.5, shifted by half a class from
+    ``keys_of`` is sure of. Lengths fall in classes of a factor of 1.25, shifted by half a class from
     part to part, so that near copies at a border of one part's classes meet by the other's."""
     seg = _segments(fp)
-    length = np.floor(np.log(np.maximum(size, 1)) / np.log(1.5) + 0.5 * part).astype(np.int64)
+    length = np.floor(np.log(np.maximum(size, 1)) / np.log(1.25) + 0.5 * part).astype(np.int64)
     rows, keys = [], []
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
         use = seg[a][2][:, :, None] & seg[b][2][:, None, :]
@@ -168,7 +168,7 @@ def _buckets(nodes: DataFrame, keyed: int, wide: bool) -> DataFrame:
                     row, key = wide_keys(fp, part.column(1).to_numpy(), p) if wide else keys_of(fp)
                     yield pa.RecordBatch.from_arrays([pa.array(key | (p << 48)), part.column(0).take(pa.array(row))], names=["key", "node"])
 
-    return nodes.select("node", "size", *(f"f{p}" for p in range(keyed))).mapInArrow(run, "key long, node long")
+    return map_arrow(nodes.select("node", "size", *(f"f{p}" for p in range(keyed))), run, "key long, node long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -199,12 +199,13 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit:
 
 
 def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> DataFrame:
-    """Edges between clusters from buckets (key, node, cluster, f0..) that hold two clusters or more.
+    """Edges between clusters from buckets (key, node, cluster, f0..) that hold two clusters or more, and
+    more than the two members that the stars have compared.
 
     Members are dealt in blocks by a hash of the node; a bucket of n members has ceil(n / block)
     blocks, and each pair of blocks is one group of at most about twice ``block`` rows.
     """
-    spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
+    spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
     rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     fs = [f"f{p}" for p in range(parts)]
     dealt = rows.select("key", "own", "cluster", *fs, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
@@ -243,7 +244,7 @@ def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> Da
         if held is not None:
             yield solve(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -272,14 +273,18 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
     fingerprints (f0, ...) and sizes. Nodes link at ``limit`` or fewer differing bits over all parts;
-    they meet by the keys (``wide`` or sure ones) of the first ``keyed`` parts."""
+    they meet by the keys (``wide`` or sure ones) of the first ``keyed`` parts. Near copies share many
+    of the wide keys and chance pairs one, so wide keys must agree twice to bring a pair to the check."""
     fs = [f"f{p}" for p in range(parts)]
-    keys = _buckets(nodes, keyed, wide)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    # few keys are shared: what follows is as large as the groups of near copies
-    met = table(keys.join(shared, "key").select("key", "node", "low"), "met")
+    keys = _buckets(nodes.repartition("node"), keyed, wide)
+    shared = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "shared")
+    # two nodes of a key are a pair; only keys of three nodes or more are joined back to their nodes
+    # (never by a broadcast, which would hold at small sizes only)
+    met = table(keys.join(shared.where("n > 2").select("key", "low").hint("merge"), "key").select("key", "node", "low"), "met")
     lows = nodes.select(F.col("node").alias("low"), *(F.col(f).alias(f"l{f}") for f in fs))
-    pairs = met.where("node <> low").select("low", "node").distinct().join(lows, "low").join(nodes.select("node", *fs), "node")
+    two = shared.where("n = 2").select("low", F.col("high").alias("node"))
+    starred = two.unionAll(met.where("node <> low").select("low", "node")).groupBy("low", "node").agg(F.count("*").alias("n")).where(F.col("n") >= (2 if wide else 1))
+    pairs = starred.select("low", "node").join(lows, "low").join(nodes.select("node", *fs), "node")
     away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
     near = components(pairs.where(away <= limit).select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "a")
     label = table(nodes.join(near, nodes["node"] == near["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")

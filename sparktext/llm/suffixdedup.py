@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._common import map_chunks, table
+from ._common import map_arrow, map_chunks, table
 
 WIDTH, GRAM = 100, 32
 #: Windows of an often met anchor that are dealt together.
@@ -269,7 +269,7 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["w1", "w2", "doc_id", "s"])
 
-    windows = met.where("many").select("doc_id", "p", "lo", "hi", "ctx").mapInArrow(single, "w1 long, w2 long, doc_id long, s long")
+    windows = map_arrow(met.where("many").select("doc_id", "p", "lo", "hi", "ctx"), single, "w1 long, w2 long, doc_id long, s long")
     first = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
     spread = windows.join(first, ["w1", "w2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
 
@@ -294,7 +294,7 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
         if held is not None:
             yield solve(held)
 
-    more = dealt.mapInArrow(run, "doc_id long, s long, e long")
+    more = map_arrow(dealt, run, "doc_id long, s long, e long")
     return found.where("h is null").select("doc_id", F.col("p").alias("s"), F.col("lo").alias("e")).unionAll(more).unionAll(spread)
 
 
@@ -353,4 +353,4 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str
                         cols[size] = pa.array([n if s == t else len(t) for n, s, t in zip(cols[size].to_pylist(), old, new)], cols[size].type)
                 yield pa.RecordBatch.from_arrays(cols[:-2], names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_arrow(joined, run, docs.schema)
