@@ -48,32 +48,52 @@ BLOCK = 4096
 def fingerprint(data: bytes | None, size: int = 4, parts: int = 1) -> list[int]:
     """SimHash of a text's word shingles by XXH64 with seed 42; a bit is set if in over half the
     hashes. Further parts of 64 bits are made the same way from the mixed hashes."""
+    return _bits(shingles(data, size), parts)
+
+
+def shingles(data: bytes | None, size: int) -> np.ndarray:
+    """Hashes of a text's word shingles, in order and with repeats."""
     words = data.lower().split() if data else []
     n = len(words)
     if not n:
-        return [0] * parts
+        return np.zeros(0, np.uint64)
     h64 = xxhash.xxh64_intdigest
     size = min(size, n)
-    out = np.zeros((parts, 64), np.int64)
+    out = []
     for k in range(0, n - size + 1, 1 << 16):  # bounded memory for very long texts
         part = words[k : k + (1 << 16) + size - 1]
-        h = np.array([h64(s, 42) for s in map(b" ".join, zip(*(part[i:] for i in range(size))))], np.uint64)
+        out.append(np.array([h64(s, 42) for s in map(b" ".join, zip(*(part[i:] for i in range(size))))], np.uint64))
+    return np.concatenate(out)
+
+
+def _bits(hashes: np.ndarray, parts: int) -> list[int]:
+    out = np.zeros((parts, 64), np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        h = hashes[k : k + (1 << 16)]
         for p in range(parts):
             out[p] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             h = mix(h + np.uint64(1))
-    bits = (2 * out > n - size + 1).astype(np.uint8)
+    bits = (2 * out > len(hashes)).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, parts: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, words (their number), f0, f1, ...: the fingerprint's parts as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, size: int = 4, parts: int = 1, text: str = "text", key: str = "doc_id", sets: bool = False) -> DataFrame:
+    """doc_id, f0, f1, ... (the fingerprint's parts as signed 64-bit integers), size (of shingles; with
+    ``sets`` distinct ones) and, with ``sets``, their set's digest."""
     names = [f"f{p}" for p in range(parts)]
 
     def run(cols):
-        fp = np.array([fingerprint(t, size, parts) for t in cols[1]], np.uint64).reshape(-1, parts).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([len(t.split()) if t else 0 for t in cols[1]], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts))], names=["doc_id", "words", *names])
+        fp, sizes, digests = [], [], []
+        for t in cols[1]:
+            h = shingles(t, size)
+            fp.append(_bits(h, parts))
+            h = np.unique(h) if sets else h
+            sizes.append(len(h))
+            digests.append(xxhash.xxh3_64_intdigest(h.tobytes()) if sets else 0)
+        fp = np.array(fp, np.uint64).reshape(-1, parts).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts)), pa.array(sizes, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["doc_id", *names, "size", "digest"])
 
-    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, words long, " + ", ".join(f"{x} long" for x in names))
+    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", size long, digest long")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -119,19 +139,23 @@ def _segments(fp: np.ndarray):
     return out
 
 
-def wide_keys(fp: np.ndarray, size: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) by the indices of two segments and the text's length: words of two segments may
+def wide_keys(fp: np.ndarray, size: np.ndarray, reach: float = 1.25) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by the indices of two segments and the text's size: words of two segments may
     differ in two bits each and mostly meet beyond that, so these keys find links at more bits than
-    ``keys_of`` is sure of. Lengths fall in classes of a factor of 1.25, shifted by half a class from
-    part to part, so that near copies at a border of one part's classes meet by the other's."""
+    ``keys_of`` is sure of. Sizes fall in classes of a factor of 1.5 or more; a text has the keys of its
+    own class and of that of ``reach`` times its size, so texts whose sizes differ by up to that
+    factor always have a class in common."""
     seg = _segments(fp)
-    length = np.floor(np.log(np.maximum(size, 1)) / np.log(1.25) + 0.5 * part).astype(np.int64)
+    at, step = np.log(np.maximum(size, 1)), max(np.log(1.5), 1.01 * np.log(reach))
+    low = np.floor(at / step + 1e-9).astype(np.int64)
+    high = np.floor((at + np.log(reach)) / step + 2e-9).astype(np.int64)
     rows, keys = [], []
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
         use = seg[a][2][:, :, None] & seg[b][2][:, None, :]
-        both = (seg[a][1][:, :, None] << 12) | seg[b][1][:, None, :] | ((kind << 40) | (length << 24))[:, None, None]
-        rows.append(np.nonzero(use)[0])
-        keys.append(both[use])
+        both = (seg[a][1][:, :, None] << 12) | seg[b][1][:, None, :] | (kind << 40)
+        for length, has in ((low, use), (high, use & (high > low)[:, None, None])):
+            rows.append(np.nonzero(has)[0])
+            keys.append((both | (length << 24)[:, None, None])[has])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -156,7 +180,7 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([r for r, _ in keys]), np.concatenate([k for _, k in keys])
 
 
-def _buckets(nodes: DataFrame, keyed: int, wide: bool) -> DataFrame:
+def _buckets(nodes: DataFrame, keyed: int, wide: bool, reach: float) -> DataFrame:
     """(key, node) for each key of each node's first ``keyed`` parts."""
 
     def run(batches):
@@ -165,7 +189,7 @@ def _buckets(nodes: DataFrame, keyed: int, wide: bool) -> DataFrame:
                 part = b.slice(k, 4096)
                 for p in range(keyed):
                     fp = part.column(p + 2).to_numpy().view(np.uint64)
-                    row, key = wide_keys(fp, part.column(1).to_numpy(), p) if wide else keys_of(fp)
+                    row, key = wide_keys(fp, part.column(1).to_numpy(), reach) if wide else keys_of(fp)
                     yield pa.RecordBatch.from_arrays([pa.array(key | (p << 48)), part.column(0).take(pa.array(row))], names=["key", "node"])
 
     return map_arrow(nodes.select("node", "size", *(f"f{p}" for p in range(keyed))), run, "key long, node long")
@@ -270,13 +294,13 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK) -> DataFrame:
+def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, reach: float = 1.25) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
     fingerprints (f0, ...) and sizes. Nodes link at ``limit`` or fewer differing bits over all parts;
-    they meet by the keys (``wide`` or sure ones) of the first ``keyed`` parts. Near copies share many
+    they meet by the keys (``wide`` ones at sizes up to ``reach`` apart, or sure ones) of the first ``keyed`` parts. Near copies share many
     of the wide keys and chance pairs one, so wide keys must agree twice to bring a pair to the check."""
     fs = [f"f{p}" for p in range(parts)]
-    keys = _buckets(nodes.repartition("node"), keyed, wide)
+    keys = _buckets(nodes.repartition("node"), keyed, wide, reach)
     shared = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "shared")
     # two nodes of a key are a pair; only keys of three nodes or more are joined back to their nodes
     # (never by a broadcast, which would hold at small sizes only)
@@ -292,12 +316,12 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     return label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, reach: float = 1.25, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: fingerprint (hex of all parts), component_id (smallest doc_id reachable)."""
     fs = [f"f{p}" for p in range(parts)]
-    marked = table(fingerprints(docs, size, parts, text, key), "fingerprints")
-    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node"), F.min("words").alias("size")).where("node is not null"), "nodes")
-    found = nodes.join(clusters(nodes, parts, keyed, limit, wide), "node").select(*fs, F.col("cluster").alias("component_id"))
+    marked = table(fingerprints(docs, size, parts, text, key, wide), "fingerprints")
+    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node"), F.min("size").alias("size")).where("node is not null"), "nodes")
+    found = nodes.join(clusters(nodes, parts, keyed, limit, wide, reach=reach), "node").select(*fs, F.col("cluster").alias("component_id"))
     return marked.join(found, fs, "left").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fs)).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -317,6 +341,6 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts:
     fingerprint's keys are sure to meet. So documents get ``parts`` fingerprints of independent bits
     (verified together) and meet by the wide keys of ``keyed`` of them. Rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, size, parts, keyed, bits_at(similarity, parts), True, text, key)
+    groups = near_duplicates(docs, size, parts, keyed, bits_at(similarity, parts), True, 1 / similarity, text, key)
     out = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(out, docs[key] == out["_gone"], "left_anti")

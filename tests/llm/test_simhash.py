@@ -108,3 +108,23 @@ def test_deduplicate_keeps_one_of_near_copies(spark):
     kept = {r["doc_id"] for r in simhash.deduplicate(df).collect()}
     assert kept == {4 * j for j in range(20)} | {1000 + j for j in range(30)}
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_wide_keys_reach_every_size():
+    """Texts whose sizes differ by up to 1 / similarity have a key in common if their bits are equal."""
+    fp = np.array([12345678901234567], np.uint64)
+    for low in range(5, 3000, 7):
+        for high in {low, (low * 21) // 20, (low * 115) // 100, (low * 120) // 100, low * 5 // 4}:
+            x, y = (set(simhash.wide_keys(fp, np.array([n]), 1.25)[1].tolist()) for n in (low, high))
+            assert x & y, (low, high)
+
+
+def test_deduplicate_finds_appended_and_deleted_text(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(200, 600))]
+        more = [f"x{rng.randint(0, 10**6)}" for _ in range(len(w) * (10, 15, 18)[k % 3] // 100)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + more if k % 2 else w[: len(w) - len(more)]))]
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(40)} <= kept and len(kept) <= 48  # chance of the bits: about one in ten has no key
