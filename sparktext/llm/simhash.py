@@ -29,6 +29,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -195,12 +197,13 @@ def _buckets(nodes: DataFrame, keyed: int, wide: bool, reach: float) -> DataFram
     return map_arrow(nodes.select("node", "size", *(f"f{p}" for p in range(keyed))), run, "key long, node long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Edges between clusters that link the fingerprints a (rows of parts; clusters ca) with b, as a
-    spanning forest."""
+def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False):
+    """Edges between clusters that link the fingerprints a (rows of parts; clusters ca, nodes na) with
+    b, each with its two nodes: a spanning forest or, with ``every``, all links between clusters.
+    Yields arrays of bounded size."""
     names, both = np.unique(np.concatenate([ca, cb]), return_inverse=True)
     if len(names) < 2:
-        return []
+        return
     ia, ib = both[: len(ca)], both[len(ca) :]
     up = list(range(len(names)))
 
@@ -214,16 +217,20 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, limit:
     for k in range(0, len(a), 256):
         away = sum(np.bitwise_count(a[k : k + 256, None, p] ^ b[None, :, p]).astype(np.int16) for p in range(a.shape[1]))
         x, y = np.nonzero((away <= limit) & (ia[k : k + 256, None] != ib[None, :]))
-        for p in np.unique(ia[k + x] * len(names) + ib[y]).tolist():
+        if every:
+            yield np.stack([ca[k + x], cb[y], na[k + x], nb[y]], 1)
+            continue
+        for p, i in zip(*(v.tolist() for v in np.unique(ia[k + x] * len(names) + ib[y], return_index=True))):
             r, s = root(p // len(names)), root(p % len(names))
             if r != s:
                 up[max(r, s)] = min(r, s)
-                out.append((int(names[p // len(names)]), int(names[p % len(names)])))
-    return out
+                out.append((int(names[p // len(names)]), int(names[p % len(names)]), int(na[k + x[i]]), int(nb[y[i]])))
+    if out:
+        yield np.array(out, np.int64)
 
 
-def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> DataFrame:
-    """Edges between clusters from buckets (key, node, cluster, f0..) that hold two clusters or more, and
+def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes: bool = False, every: bool = False) -> DataFrame:
+    """Edges (a, b) between clusters, with ``nodes`` by their nodes (x, y), from buckets (key, node, cluster, f0..) that hold two clusters or more, and
     more than the two members that the stars have compared.
 
     Members are dealt in blocks by a hash of the node; a bucket of n members has ceil(n / block)
@@ -232,25 +239,41 @@ def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> Da
     spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
     rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     fs = [f"f{p}" for p in range(parts)]
-    dealt = rows.select("key", "own", "cluster", *fs, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", *fs)
+    ids = ["node"] if nodes else []
+    dealt = rows.select("key", "own", "cluster", *ids, *fs, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", *ids, *fs)
     # groups are small and many: a task takes its share of groups as one sorted run
     dealt = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
 
     def solve(cols):
         key, i, j, own, cl = cols[:5]
-        fp = np.stack(cols[5:], 1).view(np.uint64)
+        node = cols[5] if nodes else cl
+        fp = np.stack(cols[5 + nodes :], 1).view(np.uint64)
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        out = []
         for s, e in zip([0, *cut], [*cut, len(key)]):
-            x, c, o = fp[s:e], cl[s:e], own[s:e]
+            x, c, n, o = fp[s:e], cl[s:e], node[s:e], own[s:e]
             if i[s] == j[s]:
-                out += _forest(x, x, c, c, limit)
+                yield from _forest(x, x, c, c, n, n, limit, every)
             else:
                 p, q = o == i[s], o == j[s]
-                out += _forest(x[p], x[q], c[p], c[q], limit)
-        a = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+                yield from _forest(x[p], x[q], c[p], c[q], n[p], n[q], limit, every)
+
+    def batches_of(found):
+        held, size = [], 0
+        for a in found:
+            held.append(a)
+            size += len(a)
+            if size >= 1 << 16:
+                yield batch(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield batch(np.concatenate(held))
+
+    def batch(a):
+        a = np.unique(np.where((a[:, 2] > a[:, 3])[:, None], a[:, [1, 0, 3, 2]], a), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(4 if nodes else 2)], names=names)
+
+    names = ["a", "b", "x", "y"] if nodes else ["a", "b"]
 
     def run(batches):
         held = None
@@ -264,11 +287,11 @@ def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK) -> Da
             start = int(np.argmax(last))
             held = [c[start:] for c in cols]
             if start:
-                yield solve([c[:start] for c in cols])
+                yield from batches_of(solve([c[:start] for c in cols]))
         if held is not None:
-            yield solve(held)
+            yield from batches_of(solve(held))
 
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    return map_arrow(dealt, run, ", ".join(f"{x} long" for x in names)).distinct()
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -294,7 +317,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, reach: float = 1.25) -> DataFrame:
+def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, reach: float = 1.25, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
     fingerprints (f0, ...) and sizes. Nodes link at ``limit`` or fewer differing bits over all parts;
     they meet by the keys (``wide`` ones at sizes up to ``reach`` apart, or sure ones) of the first ``keyed`` parts. Near copies share many
@@ -310,18 +333,57 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     starred = two.unionAll(met.where("node <> low").select("low", "node")).groupBy("low", "node").agg(F.count("*").alias("n")).where(F.col("n") >= (2 if wide else 1))
     pairs = starred.select("low", "node").join(lows, "low").join(nodes.select("node", *fs), "node")
     away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
-    near = components(pairs.where(away <= limit).select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "a")
+    stars = pairs.where(away <= limit).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    if confirm is not None:
+        stars = confirm(stars.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
+    near = components(stars).withColumnRenamed("node", "a")
     label = table(nodes.join(near, nodes["node"] == near["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")
-    again = components(_cross(met.select("key", "node").join(label, "node"), parts, limit, block)).withColumnRenamed("node", "a")
-    return label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
-
-
-def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, reach: float = 1.25, text: str = "text", key: str = "doc_id") -> DataFrame:
+    if confirm is None:
+        again = components(_cross(met.select("key", "node").join(label, "node"), parts, limit, block)).withColumnRenamed("node", "a")
+        return label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
+    # a forest by bits joins most of what belongs together; a link that isn't confirmed may hide another
+    # between the same clusters, so all links between the clusters that are left are tried after it
+    for every in (False, True):
+        edges = confirm(_cross(met.select("key", "node").join(label, "node"), parts, limit, block, True, every))
+        again = components(edges).withColumnRenamed("node", "a")
+        label = table(label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *fs), "clusters")
+    return label.select("node", "cluster")
+
+
+def confirmed(docs: DataFrame, similarity: float, size: int, text: str = "text", key: str = "doc_id") -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the links (a, b) whose documents (x, y) have the given Jaccard similarity
+    of shingle sets or more; sets hold 64-bit hashes. Texts without words are alike."""
+
+    def sets(cols):
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([np.unique(shingles(t, size)).tobytes() for t in cols[1]], pa.binary())], names=["node", "set"])
+
+    def alike(batches):
+        for b in batches:
+            keep = []
+            for one, two in zip(b.column("p").to_pylist(), b.column("q").to_pylist()):
+                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                low, high = sorted((len(one), len(two)))
+                same = len(np.intersect1d(one, two, assume_unique=True)) if low >= similarity * high else 0
+                keep.append(not high or same >= similarity * (low + high - same))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def confirm(links: DataFrame) -> DataFrame:
+        links = table(links, "links")
+        ids = links.select(F.col("x").alias("_id")).unionAll(links.select("y")).distinct()
+        rows = docs.select(F.col(key).cast("long").alias("node"), F.encode(text, "UTF-8").alias("t"))
+        held = table(map_chunks(rows.join(ids, rows["node"] == ids["_id"], "left_semi"), sets, "node long, set binary"), "sets")
+        both = links.join(held.select(F.col("node").alias("y"), F.col("set").alias("q")), "y").join(held.select(F.col("node").alias("x"), F.col("set").alias("p")), "x")
+        return table(map_arrow(both.select("a", "b", "p", "q"), alike, "a long, b long").distinct(), "confirmed")
+
+    return confirm
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: fingerprint (hex of all parts), component_id (smallest doc_id reachable)."""
     fs = [f"f{p}" for p in range(parts)]
     marked = table(fingerprints(docs, size, parts, text, key, wide), "fingerprints")
     nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node"), F.min("size").alias("size")).where("node is not null"), "nodes")
-    found = nodes.join(clusters(nodes, parts, keyed, limit, wide, reach=reach), "node").select(*fs, F.col("cluster").alias("component_id"))
+    found = nodes.join(clusters(nodes, parts, keyed, limit, wide), "node").select(*fs, F.col("cluster").alias("component_id"))
     return marked.join(found, fs, "left").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fs)).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -339,8 +401,13 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts:
 
     Copies at a similarity of 0.8 differ in about 15 % of the bits, more than the four of 64 that one
     fingerprint's keys are sure to meet. So documents get ``parts`` fingerprints of independent bits
-    (verified together) and meet by the wide keys of ``keyed`` of them. Rows without a doc_id stay.
+    (compared together) and meet by the wide keys of ``keyed`` of them. Bits only select candidates: a
+    link needs the similarity of the two texts' shingle sets themselves. Rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, size, parts, keyed, bits_at(similarity, parts), True, 1 / similarity, text, key)
-    out = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    names = [*(f"f{p}" for p in range(parts)), "size", "digest"]
+    marked = table(fingerprints(docs, size, parts, text, key, True), "fingerprints")
+    nodes = table(marked.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    found = clusters(nodes, parts, keyed, bits_at(similarity, parts), True, reach=1 / similarity, confirm=confirmed(docs, similarity, size, text, key))
+    groups = marked.join(nodes.join(found, "node"), names).where("doc_id <> cluster")
+    out = groups.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(out, docs[key] == out["_gone"], "left_anti")

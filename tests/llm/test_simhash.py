@@ -128,3 +128,40 @@ def test_deduplicate_finds_appended_and_deleted_text(spark):
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + more if k % 2 else w[: len(w) - len(more)]))]
     kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {2 * k for k in range(40)} <= kept and len(kept) <= 48  # chance of the bits: about one in ten has no key
+
+
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_deduplicate_keeps_texts_below_the_similarity(spark):
+    """Texts at 0.65 to 0.78 mostly pass the limit of bits; they are no copies. Nor are texts of one
+    fingerprint (a shingle outweighs the rest) with other words."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(60):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:270] + [f"y{rng.randint(0, 10**6)}" for _ in range(30 + k % 3 * 10)]))]
+        assert 0.65 < jaccard(rows[-2][1], rows[-1][1]) or k % 3
+    low = {i + 1 for (i, a), (_, b) in zip(rows[::2], rows[1::2]) if jaccard(a, b) < 0.8}
+    assert len(low) >= 40
+    for k in (200, 201):
+        rows.append((k, "same " * 500 + " ".join(f"z{k}{j}" for j in range(100))))
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows} - kept <= {i + 1 for i, _ in rows[:120:2]} - low
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_a_refused_link_hides_no_other(spark, block):
+    """Of all links within the bits only some are confirmed; each of those counts."""
+    base = random.Random(3).getrandbits(64)
+    fps = [base ^ (1 << k) for k in range(24)]
+    nodes = spark.createDataFrame([(k, 10, f) for k, f in enumerate(np.array(fps, np.uint64).view(np.int64).tolist())], "node long, size long, f0 long")
+    true = {(5, 17), (9, 23), (17, 22), (1, 2)}
+
+    def confirm(links):
+        return links.where(" or ".join(f"(least(x, y) = {a} and greatest(x, y) = {b})" for a, b in true)).select("a", "b")
+
+    got = {r["node"]: r["cluster"] for r in simhash.clusters(nodes, limit=4, block=block, confirm=confirm).collect()}
+    assert got == {k: {17: 5, 22: 5, 23: 9, 2: 1}.get(k, k) for k in range(24)}
