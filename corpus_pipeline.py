@@ -31,8 +31,9 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    """Documents without a window of a benchmark item; items shorter than a window count where they
+    make up half of the document."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), short_share=0.5)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,15 +216,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), n.alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"), F.col("longest").alias("longest_match"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, min_share: float = 0.0, **names) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, min_share: float = 0.0, short_share: float = 0.0, **names) -> DataFrame:
     """The documents without those that hold windows of at least ``min_items`` items and whose hit
-    share is at least ``min_share``. Documents are matched and removed in one pass if the test set
+    share is at least ``min_share``; where no item of a whole window is hit, only shorter ones, the hit
+    share must be at least ``short_share``, as short items may be common words. Documents are matched and removed in one pass if the test set
     fits a slice; else by an anti-join on doc_id."""
     spark = docs.sparkSession
     parts = list(slices(items))
     if len(parts) > 1:
         hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-        bad = find_items(docs, items, window, **names).where((F.size("items") >= min_items) & (hit >= min_share * F.col("n_words"))).select("doc_id")
+        bad = find_items(docs, items, window, **names).where((F.size("items") >= min_items) & (hit >= min_share * F.col("n_words")) & ((F.col("longest") >= window) | (hit >= short_share * F.col("n_words")))).select("doc_id")
         return docs.join(bad, "doc_id", "left_anti")
     held = spark.sparkContext.broadcast(TestItems(parts[0], window))
 
@@ -234,11 +235,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 texts = [t.encode() if t is not None else None for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                starts, counts, covered, _, (doc, _), _ = _spans(it, texts)
+                starts, counts, covered, _, (doc, _), longest = _spans(it, texts)
                 n_items = np.bincount(doc, minlength=len(texts))
                 total = np.concatenate([[0], np.cumsum(covered)])
                 hit = total[starts[1:]] - total[starts[:-1]]
-                keep = (n_items < min_items) | (hit < min_share * counts)
+                keep = (n_items < min_items) | (hit < min_share * counts) | ((longest < window) & (hit < short_share * counts))
                 yield part.filter(pa.array(keep))
 
     return map_arrow(docs, run, docs.schema)

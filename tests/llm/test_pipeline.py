@@ -110,3 +110,11 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_short_items_remove_no_common_words(spark, tmp_path):
+    """A one-word item leaves documents that have the word; one that is mostly short items goes."""
+    long = "one two three four five six seven eight nine"
+    spark.createDataFrame([(1, "the"), (2, "of all"), (3, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "see the old town of all towns in summer again and again"), (2, f"the {long} " + "word " * 50), (3, "The answer"), (4, "none")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()} == {1, 4}
