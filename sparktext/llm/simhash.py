@@ -320,8 +320,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, reach: float = 1.25, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
     fingerprints (f0, ...) and sizes. Nodes link at ``limit`` or fewer differing bits over all parts;
-    they meet by the keys (``wide`` ones at sizes up to ``reach`` apart, or sure ones) of the first ``keyed`` parts. Near copies share many
-    of the wide keys and chance pairs one, so wide keys must agree twice to bring a pair to the check."""
+    they meet by the keys (``wide`` ones at sizes up to ``reach`` apart, or sure ones) of the first ``keyed`` parts. One
+    key in common brings a pair to the check."""
     fs = [f"f{p}" for p in range(parts)]
     keys = _buckets(nodes.repartition("node"), keyed, wide, reach)
     shared = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "shared")
@@ -330,8 +330,8 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     met = table(keys.join(shared.where("n > 2").select("key", "low").hint("merge"), "key").select("key", "node", "low"), "met")
     lows = nodes.select(F.col("node").alias("low"), *(F.col(f).alias(f"l{f}") for f in fs))
     two = shared.where("n = 2").select("low", F.col("high").alias("node"))
-    starred = two.unionAll(met.where("node <> low").select("low", "node")).groupBy("low", "node").agg(F.count("*").alias("n")).where(F.col("n") >= (2 if wide else 1))
-    pairs = starred.select("low", "node").join(lows, "low").join(nodes.select("node", *fs), "node")
+    starred = two.unionAll(met.where("node <> low").select("low", "node")).distinct()
+    pairs = starred.join(lows, "low").join(nodes.select("node", *fs), "node")
     away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
     stars = pairs.where(away <= limit).select(F.col("low").alias("a"), F.col("node").alias("b"))
     if confirm is not None:

@@ -165,3 +165,19 @@ def test_a_refused_link_hides_no_other(spark, block):
 
     got = {r["node"]: r["cluster"] for r in simhash.clusters(nodes, limit=4, block=block, confirm=confirm).collect()}
     assert got == {k: {17: 5, 22: 5, 23: 9, 2: 1}.get(k, k) for k in range(24)}
+
+
+def test_one_wide_key_is_enough(spark):
+    """Pairs that share a single key, which no third node has, are compared."""
+    rng, fps, size = random.Random(12), [], np.array([100])
+    while len(fps) < 20:
+        a = rng.getrandbits(64)
+        b = a
+        for p in rng.sample(range(64), 10):
+            b ^= 1 << p
+        x, y = (set(simhash.wide_keys(np.array([f], np.uint64), size)[1].tolist()) for f in (a, b))
+        if len(x & y) == 1:
+            fps += [a, b]
+    nodes = spark.createDataFrame([(k, 100, f) for k, f in enumerate(np.array(fps, np.uint64).view(np.int64).tolist())], "node long, size long, f0 long")
+    got = {r["node"]: r["cluster"] for r in simhash.clusters(nodes, limit=12, wide=True).collect()}
+    assert got == {k: k - k % 2 for k in range(20)}
