@@ -1,10 +1,13 @@
 """Operator 10: licence scans. Sparse TF-IDF cosine of header lines and whole licence files to
 templates, then inheritance from the nearest ancestor directory by path joins.
 
-A text is compared with the templates line by line (notices in headers, wherever in the text they
-are) and as a whole (licence files). Terms are words; document frequencies of the templates' terms
+A text is compared with the templates line by line and in windows of a template's length at each term,
+over line breaks too (notices wherever in the text they are), and as a whole (licence files). Terms are words; document frequencies of the templates' terms
 are counted over all documents (a table as large as the templates' vocabulary), words that no template
 has weigh as if no document had them. Vectors are sparse: only a line's own terms are touched.
+Scores of all lines and windows come from running sums; a sum that counts repeated terms apart is
+never below the cosine, so only where it is above the best score so far is the cosine computed.
+Of templates with equal scores the longest is taken.
 
 A document whose whole text is like a template, or whose name is that of a licence file, gives its
 licence to its directory. Other documents without a notice of their own inherit from the nearest
@@ -65,8 +68,10 @@ class Templates:
             for w in b:
                 self.matrix[k, self.vocab[w]] += self.idf[self.vocab[w]]
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
-        #: words that tell a notice: rarer than one document in 20 (all, if nothing is known)
-        self.cues = {w for w in self.vocab if not n or df.get(w, 0) * 20 < n}
+        self.sizes = [len(b) for b in bags]
+        #: per term and template: what the term adds to the product; a last row for other words
+        self.gain = np.vstack([(self.matrix * self.idf).T, np.zeros(len(bags))])
+        self.square = np.append(self.idf, self.rare) ** 2
 
     def match(self, words: list[bytes]) -> tuple[float, str | None]:
         """Best cosine and its template."""
@@ -84,19 +89,66 @@ class Templates:
         k = int(np.argmax(cos))
         return float(min(1.0, cos[k])), self.names[k]
 
+    def _cosine(self, ids: np.ndarray, k: int) -> float:
+        """Cosine of terms (numbers beyond the vocabulary: other words) to template k."""
+        term, count = np.unique(ids, return_counts=True)
+        term = np.minimum(term, len(self.vocab))
+        return float(count @ self.gain[term, k] / np.sqrt((count * count) @ self.square[term]))
+
+    def _best(self, words: list[bytes], ends: list[int]) -> tuple[float, str | None]:
+        """Best cosine of lines (that end at ``ends``) and windows, and its template."""
+        n, other = len(words), len(self.vocab)
+        names: dict[bytes, int] = {}
+        ids = np.fromiter((self.vocab[w] if w in self.vocab else other + names.setdefault(w, len(names)) for w in words), np.int64, n)
+        known = np.minimum(ids, other)
+        if (known == other).all():
+            return 0.0, None
+        total = np.concatenate([[0.0], np.cumsum(self.square[known])])
+        line = np.unique([0, *ends])
+        norms = {size: np.sqrt(total[size:] - total[:-size]) for size in set(self.sizes) if size <= n}
+        across = np.sqrt(total[line[1:]] - total[line[:-1]])
+        best, length, name = 0.0, 0, None
+        step = max(1, (1 << 22) // n)
+        for first in range(0, len(self.names), step):  # bounded memory for very long texts
+            sums = np.zeros((min(step, len(self.names) - first), n + 1))
+            np.cumsum(self.gain[known, first : first + step].T, axis=1, out=sums[:, 1:])
+            found = []
+            for k, row in enumerate(sums, first):
+                size = self.sizes[k]
+                bound = (row[line[1:]] - row[line[:-1]]) / across
+                found.append((float(bound.max()), k, bound, 0))
+                if size in norms:
+                    bound = (row[size:] - row[:-size]) / norms[size]
+                    found.append((float(bound.max()), k, bound, size))
+            found.sort(key=lambda x: -x[0])
+            for most, k, bound, size in found:
+                # equal scores differ in their last digits, and then the longer template is taken
+                least = best - 1e-9 if self.sizes[k] > length else best + 1e-9
+                if most <= max(least, 1e-9):
+                    continue
+                seen = set()
+                at = np.flatnonzero(bound > max(least, 1e-9))
+                for p in at[np.argsort(-bound[at], kind="stable")].tolist():
+                    if bound[p] <= least:
+                        break
+                    part = ids[p : p + size] if size else ids[line[p] : line[p + 1]]
+                    if (mark := part.tobytes()) in seen:
+                        continue
+                    seen.add(mark)
+                    cos = self._cosine(part, k)
+                    if cos > least:
+                        best, length, name = max(cos, best), self.sizes[k], self.names[k]
+                        least = best + 1e-9
+        return min(1.0, best), name
+
     def scan(self, data: bytes | None) -> tuple[float, str | None, float, str | None]:
-        """Best line's score and template, the whole text's score and template."""
-        if not data:
-            return 0.0, None, 0.0, None
-        best: tuple[float, str | None] = (0.0, None)
-        for line in data.split(b"\n"):
-            words = terms(line)
-            if not self.cues.isdisjoint(words):
-                found = self.match(words)
-                if found[0] > best[0]:
-                    best = found
-        whole = self.match(terms(data)) if best[0] > 0 else (0.0, None)
-        return *best, *whole
+        """Best score of a line or window and its template, the whole text's score and template."""
+        words: list[bytes] = []
+        ends = []
+        for line in data.split(b"\n") if data else ():
+            words += terms(line)
+            ends.append(len(words))
+        return (*self._best(words, ends), *self.match(words)) if words else (0.0, None, 0.0, None)
 
 
 def frequencies(docs: DataFrame, templates: dict[str, tuple[str, ...]], text: str = "text") -> tuple[dict[bytes, int], int]:
@@ -119,7 +171,8 @@ def frequencies(docs: DataFrame, templates: dict[str, tuple[str, ...]], text: st
 def scan(docs: DataFrame, path: str, templates: dict[str, tuple[str, ...]] | None = None, line_at: float = 0.75, file_at: float = 0.6, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: path, license, score, how (``own``, ``inherited`` or null) and where it is from.
 
-    path: column with a slash-separated path; line_at, file_at: least cosine of a line and of a file.
+    path: column with a slash-separated path; line_at, file_at: least cosine of a line or window and of a file
+    (of one that is named as a licence file half as much).
     """
     templates = TEMPLATES if templates is None else templates
     df, n = frequencies(docs, templates, text)
@@ -130,7 +183,7 @@ def scan(docs: DataFrame, path: str, templates: dict[str, tuple[str, ...]] | Non
         license, score, gives = [], [], []
         for p, (a, x, b, y) in zip(cols[2], found):
             named = p is not None and LICENSE_FILE.match(p.rpartition("/")[2]) is not None
-            file = b >= file_at or (named and max(a, b) > 0)
+            file = b >= file_at or (named and max(a, b) >= file_at / 2)
             own = (y, b) if file and b >= a else (x, a) if file or a >= line_at else (None, max(a, b))
             license.append(own[0])
             score.append(own[1])

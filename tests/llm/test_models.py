@@ -252,6 +252,15 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty.withColumnRenamed("source", "path"), "path").count() == 0
 
 
+def test_frequent_notices_are_found(spark):
+    """No share of documents with a notice, and no size of the table, hides it."""
+    notice = "# Licensed under the Apache License, Version 2.0.\n"
+    rows = [(k, (notice if k % 3 == 0 else "") + f"code number {k} " * 20, f"d{k}/x.py") for k in range(90)]
+    for docs in (rows, rows[:3], rows[:1]):
+        got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string, path string"), "path").collect()}
+        assert got == {i: "Apache-2.0" if i % 3 == 0 else None for i, *_ in docs}
+
+
 def test_cosine_equals_definition():
     t = licenses.Templates({"a": ("one two two",), "b": ("three four",)}, {b"one": 3, b"two": 1, b"three": 2, b"four": 0}, 10)
     idf = lambda w: math.log(11 / (1 + {"one": 3, "two": 1, "three": 2, "four": 0}.get(w, 0))) + 1
