@@ -261,6 +261,22 @@ def test_frequent_notices_are_found(spark):
         assert got == {i: "Apache-2.0" if i % 3 == 0 else None for i, *_ in docs}
 
 
+def test_usual_headers_are_found(spark):
+    """Notices that are no template's own line: in longer lines, over line breaks, in other wordings."""
+    want = {
+        "Copyright (c) 2020 Foo Corp. All rights reserved.": "proprietary", "Licensed under the MIT License.": "MIT", "This code is released under the MIT License.": "MIT", "MIT License": "MIT",
+        "Released under the MIT License. See LICENSE for details.": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "# Copyright 2019 A. B. Licensed under the Apache\n# License, Version 2.0 (the \"License\"); you may not\n# use this file except in compliance": "Apache-2.0",
+        "Foo is free software under the GNU General Public License version 3 and comes without warranty": "GPL-3.0",
+        "Copyright Foo. All rights reserved. Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met": "BSD-3-Clause",
+        "the licence of this public work is old": None, "a general version of the work": None, "all rights of the city": None,
+    }
+    rows = [(k, t + "\n" + "plain text and more of it " * 12, f"a{k}/x") for k, t in enumerate(want)]
+    rows += [(100 + k, f"the text number {k} of all the words is not under the general rule", f"b{k}/x") for k in range(200)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), "path").collect()}
+    assert got == {k: w for k, w in enumerate(want.values())} | {100 + k: None for k in range(200)}
+
+
 def test_cosine_equals_definition():
     t = licenses.Templates({"a": ("one two two",), "b": ("three four",)}, {b"one": 3, b"two": 1, b"three": 2, b"four": 0}, 10)
     idf = lambda w: math.log(11 / (1 + {"one": 3, "two": 1, "three": 2, "four": 0}.get(w, 0))) + 1
