@@ -1,16 +1,17 @@
 """Operator 9: quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose statistic is at or beyond a cutoff. Cutoffs are selected on
-labelled holdout documents (label 1: good): per stratum and rule, the strictest cutoff of a fixed
-grid whose share of rejected good documents is below ``risk`` with exact binomial (Clopper-Pearson)
-confidence. The error probability ``delta`` is split over all strata and rules (Bonferroni), so with
-probability 1 - delta no chosen cutoff is beyond its risk. Within a stratum and rule, grid points are
-tested from lenient to strict (fixed sequence) and testing stops at the first failure, which needs no
-further correction.
-
-Documents are measured in one pass; holdout counts are summed by Spark per stratum, rule and grid
-point, a table whose size is fixed but for the strata. A stratum with too few labelled documents
-gets no cutoff, so its documents pass.
+labelled holdout documents (label 1: good): per stratum the strictest ones for which the share of good
+documents that any of the rules rejects is below ``risk`` with exact binomial (Clopper-Pearson)
+confidence. A quarter of the holdout, dealt by a hash of doc_id, orders the steps: one after the other, the
+rule goes to its next grid point whose step rejects the fewest more. On the other three quarters the
+resulting sets of cutoffs are tested in that order, from lenient to strict (fixed sequence), and testing
+stops at the first failure, which needs no correction. The error probability ``delta`` is split over the
+strata (Bonferroni), so with probability 1 - delta no stratum is beyond its risk.
+
+Documents are measured in one pass; holdout documents are counted by Spark per stratum, part and grid
+points of the three rules, a table whose size is bounded but for the strata. A stratum with too few
+labelled documents gets no cutoff, so its documents pass.
 
 Edge cases: null texts have no words (all counts 0) and fail the base test; null strata form a
 stratum of their own; repeated label rows of one document count by the lower label; labels without a
@@ -128,22 +129,44 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta:
     """(stratum, rule) to cutoff, from all labelled documents that are good and pass the base test."""
     good = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min(label).alias("label")).where("label = 1").select("doc_id")
     held = measured.where(~_base()).join(good, "doc_id", "left_semi")
-    # counts of good documents by stratum and by the strictest grid point that still passes each rule
-    marks = [F.sum(F.when(F.expr(sql) >= c, 1).otherwise(0)).alias(f"{name}_{k}") for name, sql in RULES.items() for k, c in enumerate(GRID)]
-    rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *marks).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
+    # good documents by stratum, part and the number of grid points that each rule passes them at
+    points = [f"p_{name}" for name in RULES]
+    at = [sum((F.when(F.expr(sql) < c, 1).otherwise(0) for c in GRID), F.lit(0)).alias(p) for p, sql in zip(points, RULES.values())]
+    part = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("tune")
+    met = held.select("stratum", part, *at)
+    if len(met.select("stratum").distinct().limit(MAX_STRATA + 1).collect()) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
-    level = delta / max(1, len(rows) * len(RULES))
+    strata: dict[str, list] = {}
+    for r in met.groupBy("stratum", "tune", *points).agg(F.count("*").alias("n")).collect():
+        strata.setdefault(r["stratum"], []).append((r["tune"], r["n"], *(r[p] for p in points)))
     out = {}
-    for r in rows:
-        for name in RULES:
-            for k, cut in enumerate(GRID):
-                if upper_bound(r[f"{name}_{k}"], r["n"], level) > risk:
-                    break
-                out[r["stratum"], name] = cut
+    for stratum, rows in strata.items():
+        rows = np.array(rows, np.int64)
+        for name, k in zip(RULES, _steps(rows[rows[:, 0] == 1, 1:], rows[rows[:, 0] == 0, 1:], risk, delta / len(strata))):
+            if k:
+                out[stratum, name] = GRID[k - 1]
     return out
 
 
+def _steps(tune: np.ndarray, test: np.ndarray, risk: float, level: float) -> list[int]:
+    """Grid points (their number, 0: no cutoff) that each rule may go to. Rows: documents, and by
+    rule the number of grid points at which they pass."""
+    now, n = [0] * len(RULES), int(test[:, 0].sum())
+
+    def rejected(rows: np.ndarray, cuts: list[int]) -> int:
+        return int(rows[(rows[:, 1:] < np.array(cuts)).any(1), 0].sum())
+
+    while True:
+        nexts = [[*now[:k], now[k] + 1, *now[k + 1 :]] for k in range(len(now)) if now[k] < len(GRID)]
+        if not nexts:
+            return now
+        # fewest rejections first, then the rule that has gone least far
+        step = min(nexts, key=lambda x: (rejected(tune, x), max(a for a, b in zip(x, now) if a != b)))
+        if upper_bound(rejected(test, step), n, level) > risk:
+            return now
+        now = step
+
+
 def _base():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 

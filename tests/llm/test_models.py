@@ -228,6 +228,20 @@ def test_rules_keep_good_documents(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == measured(t)
 
 
+def test_risk_holds_for_all_rules_together(spark):
+    """Each rule alone may reject 1.2 % of the good documents at its cutoff; all three may not."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(9000):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        text = {0: " ".join(x + "%%%" for x in w), 1: "\n".join([" ".join(w), *["same line"] * 8]), 2: " ".join([*w, *"a b c d e f g h i j".split() * 4])}.get(i % 83, " ".join(w))
+        rows.append((i, text, "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = rules.quality_rules(docs, spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")).collect()
+    lost = sum(not r["kept"] for r in got)
+    assert lost <= 0.02 * len(rows) and any(r["broken"] for r in got)
+
+
 def test_rules_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert rules.quality_rules(empty, none).count() == 0
