@@ -148,8 +148,8 @@ def locate_limit(spark, sf):
 @query(f"""SELECT l.doc_id, l.local, substr(d.text, CAST(greatest(l.local - 12, 0) + 1 AS BIGINT), CAST(least(l.local + 9 + 12, strlen(d.text)) - greatest(l.local - 12, 0) AS BIGINT)) AS snippet
 FROM ({_LOCATE.format(p='worthless', n=9)}) l JOIN documents d USING (doc_id) WHERE strlen(d.text) = length(d.text)""")
 def context_snippets(spark, sf):
-    docs = _read(spark, sf, "documents").where(F.octet_length("text") == F.length("text"))
-    corpus = Corpus.from_df(docs)
+    """Over all documents; the SQL leaves out those with a character beyond ASCII."""
+    corpus = _docs(spark, sf)
     found = ops.locate(corpus, rx.compile_literal("worthless"))
     return ops.snippets(corpus, found, 9, 12).join(found.select("doc_id", "pos", "local"), ["doc_id", "pos"]).select("doc_id", "local", "snippet")
 

@@ -280,3 +280,22 @@ def test_entry_imports_without_a_session():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_context_snippets_over_all_documents(spark, tmp_path):
+    from sparktext import queries
+
+    rows = [(1, "plain and worthless words of a text"), (2, "Übermäßig schön: worthless für alle"), (3, "none"), (4, "worthless"), (5, "日本語 worthless 日本語日本語")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["local"]): r["snippet"] for r in queries.QUERIES["context_snippets"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in rows:
+        b = t.encode()
+        if (p := b.find(b"worthless")) >= 0:
+            low, high = max(0, p - 12), min(len(b), p + 9 + 12)
+            while low and b[low] & 0xC0 == 0x80:
+                low -= 1
+            while high < len(b) and b[high] & 0xC0 == 0x80:
+                high += 1
+            want[i, p] = b[low:high].decode()
+    assert got == want
