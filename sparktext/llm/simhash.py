@@ -323,7 +323,9 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     they meet by the keys (``wide`` ones at sizes up to ``reach`` apart, or sure ones) of the first ``keyed`` parts. One
     key in common brings a pair to the check."""
     fs = [f"f{p}" for p in range(parts)]
-    keys = _buckets(nodes.repartition("node"), keyed, wide, reach)
+    # nodes are small and their keys many: tasks by the number of nodes, so that none gathers millions of keys
+    dealt = nodes.repartition(nodes.count() // BLOCK + 1, "node") if wide else nodes.repartition("node")
+    keys = _buckets(dealt, keyed, wide, reach)
     shared = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "shared")
     # two nodes of a key are a pair; only keys of three nodes or more are joined back to their nodes
     # (never by a broadcast, which would hold at small sizes only)
