@@ -12,13 +12,21 @@ second one half of each of the two segments is equal, and the two halves and the
 a key (33 bits, 3 choices of the third, 4 of the halves, up to 6 keys each). Candidates are verified.
 
 Fingerprints are first made distinct (copies collapse in a partial aggregation), so groups of exact
-copies never meet in a join. Links are found in two rounds that emit no pairs within a group:
+copies never meet. A key goes out with its node and 64 check bits; rows of one key lie together after
+one shuffle, and the task that holds them compares them there, so pairs that meet by chance are
+never rows of a table. Links are found without emitting all pairs of a group:
 
-1. in each bucket every fingerprint is compared with the bucket's smallest one only (a star);
+1. a bucket gives its links if they are few (``FEW`` times its members at most), else one link for each
+   member and, for round 2, its members under the digest of their set: buckets with the same
+   members become one;
 2. clusters of round 1 are contracted; only buckets that still hold two clusters or more go on. A
    bucket's members are dealt in blocks of bounded size, and each pair of blocks is compared whole
    in one task, which gives a spanning forest of the links, not the links.
 
+Skew: keys are counted in ``BINS`` bins; the rows of a bin with far more keys than most are dealt over
+several tasks by the node, and a bucket of more than ``BLOCK`` rows is compared in blocks; both then go to
+round 2 whole, where the blocks meet.
+
 Connected components: large-star / small-star rounds over the written edge tables.
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer words than a
@@ -45,6 +53,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 #: Fingerprints of a bucket that one task compares with as many others.
 BLOCK = 4096
+#: Links that a bucket gives for each of its members before only one link a member is given.
+FEW = 2
+#: Bins in which keys are counted to find those that need several tasks; rows of keys for each task.
+BINS, TASK_ROWS = 1 << 16, 1 << 20
 
 
 def fingerprint(data: bytes | None, size: int = 4, parts: int = 1) -> list[int]:
@@ -141,23 +153,16 @@ def _segments(fp: np.ndarray):
     return out
 
 
-def wide_keys(fp: np.ndarray, size: np.ndarray, reach: float = 1.25) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) by the indices of two segments and the text's size: words of two segments may
-    differ in two bits each and mostly meet beyond that, so these keys find links at more bits than
-    ``keys_of`` is sure of. Sizes fall in classes of a factor of 1.5 or more; a text has the keys of its
-    own class and of that of ``reach`` times its size, so texts whose sizes differ by up to that
-    factor always have a class in common."""
+def wide_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by the indices of two segments: words of two segments may differ in two bits each and
+    mostly meet beyond that, so these keys find links at more bits than ``keys_of`` is sure of."""
     seg = _segments(fp)
-    at, step = np.log(np.maximum(size, 1)), max(np.log(1.5), 1.01 * np.log(reach))
-    low = np.floor(at / step + 1e-9).astype(np.int64)
-    high = np.floor((at + np.log(reach)) / step + 2e-9).astype(np.int64)
     rows, keys = [], []
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
         use = seg[a][2][:, :, None] & seg[b][2][:, None, :]
         both = (seg[a][1][:, :, None] << 12) | seg[b][1][:, None, :] | (kind << 40)
-        for length, has in ((low, use), (high, use & (high > low)[:, None, None])):
-            rows.append(np.nonzero(has)[0])
-            keys.append((both | (length << 24)[:, None, None])[has])
+        rows.append(np.nonzero(use)[0])
+        keys.append(both[use])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -182,19 +187,156 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([r for r, _ in keys]), np.concatenate([k for _, k in keys])
 
 
-def _buckets(nodes: DataFrame, keyed: int, wide: bool, reach: float) -> DataFrame:
-    """(key, node) for each key of each node's first ``keyed`` parts."""
+def _keyed(batch: pa.RecordBatch, keyed: int, wide: bool):
+    """(row, key) of the first ``keyed`` parts (the columns from 1) of a batch of nodes."""
+    for p in range(keyed):
+        fp = batch.column(p + 1).to_numpy().view(np.uint64)
+        row, key = wide_keys(fp) if wide else keys_of(fp)
+        yield row, key | (p << 48)
+
+
+def _bin(key: np.ndarray) -> np.ndarray:
+    return (mix(key.view(np.uint64)) >> np.uint64(48)).astype(np.int64)
+
+
+def _shares(nodes: DataFrame, keyed: int, wide: bool) -> tuple[np.ndarray, int]:
+    """Tasks over which the keys of each bin are dealt (1 but for bins with far more keys than most), and
+    the number of all keys. Bins are a fixed number, however many keys there are."""
 
     def run(batches):
+        n = np.zeros(BINS, np.int64)
         for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                part = b.slice(k, 4096)
-                for p in range(keyed):
-                    fp = part.column(p + 2).to_numpy().view(np.uint64)
-                    row, key = wide_keys(fp, part.column(1).to_numpy(), reach) if wide else keys_of(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(key | (p << 48)), part.column(0).take(pa.array(row))], names=["key", "node"])
+            for k in range(0, b.num_rows, BLOCK):
+                for _, key in _keyed(b.slice(k, BLOCK), keyed, wide):
+                    n += np.bincount(_bin(key), minlength=BINS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bin", "n"])
+
+    found = map_arrow(nodes, run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BINS, np.int64)
+    n[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    total = int(n.sum())
+    most = 4 * total // BINS + BLOCK
+    return np.maximum(1, -(-n // most)), total
+
+
+def _buckets(nodes: DataFrame, keyed: int, wide: bool, check: str) -> tuple[DataFrame, np.ndarray]:
+    """(key, share, node, bits) for each key of each node's first ``keyed`` parts, dealt and sorted by key
+    and share, and the number of shares by bin."""
+    fs = [f"f{p}" for p in range(keyed)]
+    # nodes are small and their keys many: tasks by the number of nodes, so that none makes millions of keys at once
+    nodes = nodes.repartition(nodes.count() // (2 * BLOCK) + 1, "node").select("node", *fs, F.col(check).alias("bits"))
+    shares, total = _shares(nodes, keyed, wide)
 
-    return map_arrow(nodes.select("node", "size", *(f"f{p}" for p in range(keyed))), run, "key long, node long")
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, BLOCK):
+                part = b.slice(k, BLOCK)
+                node, bits = part.column(0).to_numpy(), part.column(part.num_columns - 1).to_numpy()
+                for row, key in _keyed(part, keyed, wide):
+                    n = shares[_bin(key)]
+                    share = np.where(n > 1, (mix(node[row].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(share.astype(np.int32)), pa.array(node[row]), pa.array(bits[row])], names=["key", "share", "node", "bits"])
+
+    rows = map_arrow(nodes, run, "key long, share int, node long, bits long")
+    return rows.repartition(total // TASK_ROWS + 1, "key", "share").sortWithinPartitions("key", "share", "node"), shares
+
+
+def _runs(key: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Where the rows of each bucket start."""
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (share[1:] != share[:-1])]))
+
+
+def _links(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, block: int = BLOCK):
+    """(a, b, run, many): rows a before b of one run at ``limit`` or fewer differing bits, and how many such
+    pairs each run has. Runs with more than FEW pairs a row give one for each b. Runs of more than ``block`` are
+    compared in blocks."""
+    run = np.repeat(np.arange(len(begin)), size)
+    small = min(32, block)
+    left = np.where(size[run] <= small, (begin + size)[run] - np.arange(len(run)) - 1, 0)
+    a, b = [], []
+    at = np.flatnonzero(left)
+    d = 1
+    while len(at):
+        ok = at[np.bitwise_count(bits[at] ^ bits[at + d]) <= limit]
+        a.append(ok)
+        b.append(ok + d)
+        d += 1
+        at = at[left[at] >= d]
+    many = np.bincount(run[np.concatenate(a)], minlength=len(begin)) if a else np.zeros(len(begin), np.int64)
+    for k in np.flatnonzero(size > small).tolist():
+        for s in range(begin[k], begin[k] + size[k], block):
+            x = bits[s : min(s + block, begin[k] + size[k])]
+            every, first = [], []
+            for low in range(0, len(x), 256):
+                i, j = np.nonzero(np.triu(np.bitwise_count(x[None, :] ^ x[low : low + 256, None]) <= limit, low + 1))
+                many[k] += len(i)
+                one = np.unique(j, return_index=True)[1]
+                first.append((i[one] + low, j[one]))
+                if many[k] <= FEW * size[k]:
+                    every.append((i + low, j))
+            for i, j in every if many[k] <= FEW * size[k] else first:
+                a.append(s + i)
+                b.append(s + j)
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), run, many
+    a, b = np.concatenate(a), np.concatenate(b)
+    dense = many[run[b]] > FEW * size[run[b]]
+    by = np.lexsort((a, b))
+    one = by[np.concatenate([[True], b[by][1:] != b[by][:-1]])]
+    keep = ~dense
+    keep[one] = True
+    return a[keep], b[keep], run, many
+
+
+def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -> DataFrame:
+    """Of dealt buckets: links (name null, a, b: nodes) by the check bits, and members (name, a, b null) of
+    the buckets that need another look."""
+
+    def solve(key, share, node, bits, long):
+        begin = _runs(key, share)
+        size = np.diff(np.append(begin, len(key)))
+        a, b, run, many = _links(bits, begin, size, limit, block)
+        names, members = [], []
+        split = (shares[_bin(key[begin])] > 1) | (size > block)
+        if long is not None:
+            split |= (key[begin] == long[0]) & (share[begin] == long[1])
+        for k in np.flatnonzero(split | (many > FEW * size)).tolist():
+            own = node[begin[k] : begin[k] + size[k]]
+            members.append(own)
+            # a set's name is its digest; that of a split bucket its key (a name met twice joins two buckets, which loses nothing)
+            names.append(np.full(len(own), key[begin[k]] if split[k] else xxhash.xxh3_64_intdigest(np.sort(own).tobytes()) - (1 << 63)))
+        members = np.concatenate(members) if members else np.zeros(0, np.int64)
+        names = np.concatenate(names) if names else np.zeros(0, np.int64)
+        x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(names, pa.int64())]),
+            pa.array(np.concatenate([x, members])),
+            pa.concat_arrays([pa.array(y), pa.nulls(len(members), pa.int64())]),
+        ], names=["name", "a", "b"])
+
+    def run(batches):
+        held, long = None, None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            cols[3] = cols[3].view(np.uint64)
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            # the last bucket may go on in the next batch, but no more than a block of it is kept
+            cut = int(_runs(cols[0], cols[1])[-1])
+            last = (int(cols[0][-1]), int(cols[1][-1]))
+            more = len(cols[0]) - cut >= block
+            cut = len(cols[0]) if more else cut
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield solve(*(c[:cut] for c in cols), last if more else long)
+            long = last if more else long if long == last else None
+        if held is not None and len(held[0]):
+            yield solve(*held, long)
+
+    return map_arrow(rows, run, "name long, a long, b long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False):
@@ -230,13 +372,12 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np
 
 
 def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes: bool = False, every: bool = False) -> DataFrame:
-    """Edges (a, b) between clusters, with ``nodes`` by their nodes (x, y), from buckets (key, node, cluster, f0..) that hold two clusters or more, and
-    more than the two members that the stars have compared.
+    """Edges (a, b) between clusters, with ``nodes`` by their nodes (x, y), from buckets (key, node, cluster, f0..) that hold two clusters or more.
 
     Members are dealt in blocks by a hash of the node; a bucket of n members has ceil(n / block)
     blocks, and each pair of blocks is one group of at most about twice ``block`` rows.
     """
-    spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
+    spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
     rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     fs = [f"f{p}" for p in range(parts)]
     ids = ["node"] if nodes else []
@@ -299,14 +440,18 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     small stars; each round is a written table, and rounds end when nothing changes."""
     now = table(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "edges")
     before = None
+
+    def lowest(edges: DataFrame) -> DataFrame:
+        # joined by another name of ``a``: the small side is shuffled anew, so that Spark may split a hub's edges over tasks
+        low = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("k"), "m")
+        return edges.withColumn("k", F.bitwise_not("a")).join(low, "k")
+
     for _ in range(most):
         # large star: all larger neighbours of a node go to its smallest neighbour
         both = now.unionByName(now.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
         # small star: all smaller neighbours of a node, and itself, go to its smallest neighbour
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = lowest(large).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = table(small, "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -317,38 +462,31 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, reach: float = 1.25, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, near: int | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
-    fingerprints (f0, ...) and sizes. Nodes link at ``limit`` or fewer differing bits over all parts;
-    they meet by the keys (``wide`` ones at sizes up to ``reach`` apart, or sure ones) of the first ``keyed`` parts. One
-    key in common brings a pair to the check."""
+    fingerprints (f0, ...). Nodes link at ``limit`` or fewer differing bits over all parts; they meet by
+    the keys (``wide`` ones, or sure ones) of the first ``keyed`` parts. One key in common brings a pair to
+    the check, first of the last part's bits alone (``near`` or fewer may differ), then of all."""
     fs = [f"f{p}" for p in range(parts)]
-    # nodes are small and their keys many: tasks by the number of nodes, so that none gathers millions of keys
-    dealt = nodes.repartition(nodes.count() // BLOCK + 1, "node") if wide else nodes.repartition("node")
-    keys = _buckets(dealt, keyed, wide, reach)
-    shared = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "shared")
-    # two nodes of a key are a pair; only keys of three nodes or more are joined back to their nodes
-    # (never by a broadcast, which would hold at small sizes only)
-    met = table(keys.join(shared.where("n > 2").select("key", "low").hint("merge"), "key").select("key", "node", "low"), "met")
-    lows = nodes.select(F.col("node").alias("low"), *(F.col(f).alias(f"l{f}") for f in fs))
-    two = shared.where("n = 2").select("low", F.col("high").alias("node"))
-    starred = two.unionAll(met.where("node <> low").select("low", "node")).distinct()
-    pairs = starred.join(lows, "low").join(nodes.select("node", *fs), "node")
-    away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
-    stars = pairs.where(away <= limit).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    met = table(_meet(*_buckets(nodes, keyed, wide, fs[-1]), limit if near is None else near, block), "met")
+    links = met.where("name is null").select("a", "b").distinct()
+    if parts > 1:
+        low = nodes.select(F.col("node").alias("a"), *(F.col(f).alias(f"l{f}") for f in fs))
+        away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
+        links = links.join(low, "a").join(nodes.select(F.col("node").alias("b"), *fs), "b").where(away <= limit).select("a", "b")
     if confirm is not None:
-        stars = confirm(stars.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
-    near = components(stars).withColumnRenamed("node", "a")
-    label = table(nodes.join(near, nodes["node"] == near["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")
-    if confirm is None:
-        again = components(_cross(met.select("key", "node").join(label, "node"), parts, limit, block)).withColumnRenamed("node", "a")
-        return label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
+        links = confirm(links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
+    linked = components(links).withColumnRenamed("node", "a")
+    label = table(nodes.join(linked, nodes["node"] == linked["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")
+    again = met.where("name is not null").select(F.col("name").alias("key"), F.col("a").alias("node")).distinct()
+    if again.isEmpty():
+        return label.select("node", "cluster")
     # a forest by bits joins most of what belongs together; a link that isn't confirmed may hide another
     # between the same clusters, so all links between the clusters that are left are tried after it
-    for every in (False, True):
-        edges = confirm(_cross(met.select("key", "node").join(label, "node"), parts, limit, block, True, every))
-        again = components(edges).withColumnRenamed("node", "a")
-        label = table(label.join(again, label["cluster"] == again["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *fs), "clusters")
+    for every in (False,) if confirm is None else (False, True):
+        edges = _cross(again.join(label, "node"), parts, limit, block, confirm is not None, every)
+        more = components(edges if confirm is None else confirm(edges)).withColumnRenamed("node", "a")
+        label = table(label.join(more, label["cluster"] == more["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *fs), "clusters")
     return label.select("node", "cluster")
 
 
@@ -384,21 +522,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, parts: int = 1, keyed: int =
     """Per document: fingerprint (hex of all parts), component_id (smallest doc_id reachable)."""
     fs = [f"f{p}" for p in range(parts)]
     marked = table(fingerprints(docs, size, parts, text, key, wide), "fingerprints")
-    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node"), F.min("size").alias("size")).where("node is not null"), "nodes")
+    nodes = table(marked.groupBy(*fs).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
     found = nodes.join(clusters(nodes, parts, keyed, limit, wide), "node").select(*fs, F.col("cluster").alias("component_id"))
     return marked.join(found, fs, "left").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fs)).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def bits_at(similarity: float, parts: int) -> int:
     """Differing bits to expect at a Jaccard similarity of shingle sets: the angle between the sets'
-    vectors, whose cosine is 2s / (1 + s), as a share of all bits; two standard deviations are
-    added so that pairs at the limit itself are found."""
+    vectors, whose cosine is 2s / (1 + s), as a share of all bits; three standard deviations
+    are added so that pairs at the limit itself are found."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = 64 * parts
-    return int(n * share + 2 * np.sqrt(n * share * (1 - share)))
+    return int(n * share + 3 * np.sqrt(n * share * (1 - share)))
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts: int = 4, keyed: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts: int = 4, keyed: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id.
 
     Copies at a similarity of 0.8 differ in about 15 % of the bits, more than the four of 64 that one
@@ -409,7 +547,7 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts:
     names = [*(f"f{p}" for p in range(parts)), "size", "digest"]
     marked = table(fingerprints(docs, size, parts, text, key, True), "fingerprints")
     nodes = table(marked.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    found = clusters(nodes, parts, keyed, bits_at(similarity, parts), True, reach=1 / similarity, confirm=confirmed(docs, similarity, size, text, key))
+    found = clusters(nodes, parts, keyed, bits_at(similarity, parts), True, near=bits_at(similarity, 1), confirm=confirmed(docs, similarity, size, text, key))
     groups = marked.join(nodes.join(found, "node"), names).where("doc_id <> cluster")
     out = groups.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(out, docs[key] == out["_gone"], "left_anti")

@@ -110,15 +110,6 @@ def test_deduplicate_keeps_one_of_near_copies(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
-def test_wide_keys_reach_every_size():
-    """Texts whose sizes differ by up to 1 / similarity have a key in common if their bits are equal."""
-    fp = np.array([12345678901234567], np.uint64)
-    for low in range(5, 3000, 7):
-        for high in {low, (low * 21) // 20, (low * 115) // 100, (low * 120) // 100, low * 5 // 4}:
-            x, y = (set(simhash.wide_keys(fp, np.array([n]), 1.25)[1].tolist()) for n in (low, high))
-            assert x & y, (low, high)
-
-
 def test_deduplicate_finds_appended_and_deleted_text(spark):
     rng = random.Random(9)
     rows = []
@@ -127,7 +118,7 @@ def test_deduplicate_finds_appended_and_deleted_text(spark):
         more = [f"x{rng.randint(0, 10**6)}" for _ in range(len(w) * (10, 15, 18)[k % 3] // 100)]
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + more if k % 2 else w[: len(w) - len(more)]))]
     kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {2 * k for k in range(40)} <= kept and len(kept) <= 48  # chance of the bits: about one in ten has no key
+    assert {2 * k for k in range(40)} <= kept and len(kept) <= 42  # chance of the bits: about one in fifty has no key
 
 
 def jaccard(a, b, size=5):
@@ -169,15 +160,51 @@ def test_a_refused_link_hides_no_other(spark, block):
 
 def test_one_wide_key_is_enough(spark):
     """Pairs that share a single key, which no third node has, are compared."""
-    rng, fps, size = random.Random(12), [], np.array([100])
+    rng, fps = random.Random(12), []
     while len(fps) < 20:
         a = rng.getrandbits(64)
         b = a
         for p in rng.sample(range(64), 10):
             b ^= 1 << p
-        x, y = (set(simhash.wide_keys(np.array([f], np.uint64), size)[1].tolist()) for f in (a, b))
+        x, y = (set(simhash.wide_keys(np.array([f], np.uint64))[1].tolist()) for f in (a, b))
         if len(x & y) == 1:
             fps += [a, b]
     nodes = spark.createDataFrame([(k, 100, f) for k, f in enumerate(np.array(fps, np.uint64).view(np.int64).tolist())], "node long, size long, f0 long")
     got = {r["node"]: r["cluster"] for r in simhash.clusters(nodes, limit=12, wide=True).collect()}
     assert got == {k: k - k % 2 for k in range(20)}
+
+
+@pytest.mark.parametrize("edit", ["replace", "append", "delete", "insert"])
+def test_recall_by_similarity_and_edit(spark, edit):
+    """Of pairs in each band of similarity from 0.8 on nine in ten are found at least; none below."""
+    rng, rows, bands = random.Random(edit), [], {}
+    for k in range(240):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(150, 400))]
+        n = len(w) * rng.randint(1, 22) // 100 + 1
+        new = [f"x{rng.randint(0, 10**6)}" for _ in range(n)]
+        at = rng.randint(1, len(w) - n)
+        c = {"replace": w[:at] + new[: n // 2 + 1] + w[at + n // 2 + 1 :], "append": w + new, "delete": w[:-n], "insert": w[:at] + new + w[at:]}[edit]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(c))]
+        bands.setdefault(int(jaccard(rows[-2][1], rows[-1][1]) * 20 + 1e-9), []).append(2 * k + 1)
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for band, ids in bands.items():
+        gone = sum(i not in kept for i in ids)
+        assert gone >= 0.9 * len(ids) if band >= 16 else not gone, (band / 20, gone, len(ids))
+
+
+def test_bins_with_many_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """Buckets that are split over tasks and blocks lose no link: the same clusters come out."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fps = sorted({b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)})
+    nodes = spark.createDataFrame([(k, f) for k, f in enumerate(np.array(fps, np.uint64).view(np.int64).tolist())], "node long, f0 long").cache()
+    plain_ = {r["node"]: r["cluster"] for r in simhash.clusters(nodes).collect()}
+    up = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and up[i] != up[j]:
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    assert plain_ == dict(enumerate(up))
+    monkeypatch.setattr(simhash, "_shares", lambda *a: (np.full(simhash.BINS, 3), 100_000))
+    assert {r["node"]: r["cluster"] for r in simhash.clusters(nodes, block=40).collect()} == plain_
