@@ -278,14 +278,11 @@ def _links(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, bl
             for i, j in every if many[k] <= FEW * size[k] else first:
                 a.append(s + i)
                 b.append(s + j)
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), run, many
-    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
     dense = many[run[b]] > FEW * size[run[b]]
     by = np.lexsort((a, b))
-    one = by[np.concatenate([[True], b[by][1:] != b[by][:-1]])]
     keep = ~dense
-    keep[one] = True
+    keep[by[np.diff(b[by], prepend=-1) != 0]] = True
     return a[keep], b[keep], run, many
 
 
