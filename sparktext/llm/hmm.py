@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, map_arrow, table
+from ._common import chunks, map_arrow, release, table
 
 HEAD = 4096
 TAIL = 4096
@@ -289,7 +289,10 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, shares: int =
     def row(block, parts):
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.concatenate(parts).astype("<i8").tobytes()], pa.binary())], names=["block", "c"])
 
-    packed = map_arrow(sorted_, pack, "block long, c binary")
+    # written, so that the words' shuffles are gone before blocks are dealt
+    packed = table(map_arrow(sorted_, pack, "block long, c binary"), "packed")
+    del places, sorted_, listed, marked
+    release(spark)
     groups = [c for g in range(shares + 1) for c in (f"ids{g}", f"codes{g}")]
     rows = blocks.select("block", "hash", "tail", *groups).join(packed, "block").select("hash", "tail", "c", *groups)
     given = spark.sparkContext.broadcast((model, classes, mass, int(total), int(kinds)))
