@@ -5,16 +5,19 @@ earlier (smaller doc_id, or earlier in the document) takes its words with it.
 
 Recurring phrases of ``GRAM`` words are confirmed first (see ``repeats``: sampled so that every
 recurring window holds one, its anchor). Documents are then streamed in chunks. A chunk's documents and
-the confirmed phrases in them are one shard: words become letters, the phrases are compiled to
-Aho-Corasick automata (pyahocorasick) of at most ``PHRASES`` phrases, and the chunk's documents run
-through them, which finds every occurrence (confirmed by the phrase's hash). A document passes its chunk's automata only, however many
-phrases the corpus has. Each occurrence goes out once, with the hashes of the windows whose anchor
-it is; rows of one phrase meet in one task, which finds windows that were there before.
+the confirmed phrases in them are one shard: the phrases are compiled to Aho-Corasick automata
+(pyahocorasick) of at most ``PHRASES`` phrases, and the chunk's documents run through them, which finds
+every place of every phrase, word for word: a word's number is written in letters of five bits, so nodes have few
+branches. What the automata report is all that is known of a document from then on: a window belongs to the
+reported phrase with the smallest hash in it, and a window without one is no candidate. A document passes
+its chunk's automata only, however many phrases the corpus has. Each occurrence goes out once, with the
+words of the windows that belong to it; rows of one phrase meet in one task, which compares their windows word for word and
+finds those that were there before.
 
 Skew: copies of whole texts are settled by their hash before. A window comes out once per chunk: those
 seen earlier in the chunk are marked at once. Windows of a phrase met more than ``HOT`` times are dealt
 in shares of ``SHARE`` neighbours, by the words all of them have; what is still more than ``HOT`` rows
-of one name goes on as single windows, whose first places a partial aggregation finds.
+of one name goes on as single windows (their words), whose first places a partial aggregation finds.
 
 Edge cases: null texts have no words; rows with a null doc_id stay whole and mark nothing; rows that
 share a doc_id are taken for one document (ranges are cut to each row's length); texts shorter than a
@@ -37,25 +40,32 @@ from ._common import map_arrow, map_chunks, mix, table
 
 WIDTH, GRAM = 20, 8
 #: Phrases of an automaton, and windows of an often met phrase that are dealt together.
-PHRASES, SHARE = 200_000, 5
+PHRASES, SHARE = 100_000, 5
+#: Bits of a letter of the automata.
+LETTER = 5
 
 
 class _Words:
     """Words of a chunk as numbers, and their 64-bit hashes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], joined: bool = False):
         known: dict[bytes, int] = {}
-        add, flat, counts = known.setdefault, [], []
+        add, flat, counts, parts = known.setdefault, [], [], []
         for t in texts:
             w = t.split()
             counts.append(len(w))
             flat += [add(x, len(known)) for x in w]
+            if joined:
+                parts.append(b" ".join(w))
         self.ids = np.array(flat, np.int32)
         self.ends = np.cumsum(counts).astype(np.int64)
         self.starts = self.ends - np.array(counts, np.int64)
         h64 = xxhash.xxh64_intdigest
         self.hash = np.array([h64(x) for x in known], np.uint64)[self.ids] if flat else np.zeros(0, np.uint64)
-        self.known = known
+        if joined:  # all words with one space between, and where each starts
+            self.text = b" ".join(x for x in parts if x)
+            size = np.array([len(x) + 1 for x in known], np.int64)
+            self.place = np.concatenate([[0], np.cumsum(size[self.ids])]) if flat else np.zeros(1, np.int64)
 
 
 def _anchors(texts: list[bytes]):
@@ -66,14 +76,8 @@ def _anchors(texts: list[bytes]):
     return np.searchsorted(w.ends, at, "right"), repeats.gram_hashes(w.hash, GRAM)[at]
 
 
-def _window_hashes(h: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all runs of WIDTH words: the first 16 and, overlapping, the last 16."""
-    g = repeats.gram_hashes(h, 16)
-    return mix(g[: len(g) - WIDTH + 16] * np.uint64(0xC2B2AE3D27D4EB4F) + g[WIDTH - 16 :])
-
-
 def automaton(phrases: set[str]) -> ahocorasick.Automaton:
-    """The automaton of phrases, a letter a word."""
+    """The automaton of phrases, some letters a word."""
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for x in phrases:
         auto.add_word(x)
@@ -81,62 +85,68 @@ def automaton(phrases: set[str]) -> ahocorasick.Automaton:
     return auto
 
 
-def occurrences(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where in a chunk's documents (word hashes) any of the phrases starts that stand at ``at``.
-
-    A word is read as one of eight letters, so the automaton has few branches at a node and phrases
-    share most of their upper nodes; what it finds is compared by the phrase's 64-bit hash.
-    """
-    text = ((hashes >> np.uint64(61)).astype(np.uint8) + 97).tobytes().decode("ascii")
-    grams = repeats.gram_hashes(hashes, GRAM)
-    names = sorted({text[p : p + GRAM] for p in at.tolist()})
-    found: list[int] = []
+def occurrences(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where in a chunk's documents (words as numbers) any of the phrases starts whose words stand at ``at``."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    width = max(1, -(-int(ids.max()).bit_length() // LETTER))
+    letters = 48 + ((ids[:, None] >> (LETTER * np.arange(width - 1, -1, -1))) & ((1 << LETTER) - 1))
+    text, size = letters.astype(np.uint8).tobytes().decode("ascii"), GRAM * width
+    names = sorted({text[p : p + size] for p in (at * width).tolist()})
+    found: list[np.ndarray] = []
     for k in range(0, len(names), PHRASES):
         auto = automaton(set(names[k : k + PHRASES]))
         for s, e in zip(starts.tolist(), ends.tolist()):
             if e - s >= WIDTH:
-                found += [s + end - GRAM + 1 for end, _ in auto.iter(text[s:e])]
-    hits = np.unique(np.array(found, np.int64))
-    return hits[np.isin(grams[hits], grams[at])]
+                last = np.array([x for x, _ in auto.iter(text[s * width : e * width])], np.int64) + 1
+                found.append(s + last[last % width == 0] // width - GRAM)  # others are no whole words
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+
 
+_OUT = "h long, doc_id long, p long, mask int, ctx binary"
 
-_OUT = "h long, doc_id long, p long, mask int, ws array<long>"
+
+def _again(ids: np.ndarray, start: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Whether each window (its first word's place in ``ids``, and the words before its phrase's place) has the words of
+    one before it. Windows are sorted by a hash of their words and compared word for word."""
+    out = np.zeros(len(start), bool)
+    for b in np.unique(back).tolist():
+        at = np.flatnonzero(back == b)
+        rows = ids[start[at][:, None] + np.arange(WIDTH)]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(WIDTH):
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + rows[:, k].astype(np.uint64))
+        by = np.argsort(h, kind="stable")
+        near, same = h[by][1:] == h[by][:-1], (rows[by][1:] == rows[by][:-1]).all(1)
+        if (near & ~same).any():  # other words of the same hash: sorted by the words themselves
+            by = np.argsort(np.unique(rows, axis=0, return_inverse=True)[1].ravel(), kind="stable")
+            same = (rows[by][1:] == rows[by][:-1]).all(1)
+        out[at[by[1:][same]]] = True
+    return out
 
 
 def _windows(cols):
     """Of a chunk: occurrences (h, doc_id, place, which windows by their words before the place as bits,
-    their hashes), and marks settled in the chunk: (h null, doc_id, start, words)."""
+    their words), and marks settled in the chunk: (h null, doc_id, start, words)."""
     order = sorted((k for k, t in enumerate(cols[1]) if t), key=lambda k: cols[0][k])
-    w = _Words([cols[1][k] for k in order])
-    at, lists = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w = _Words([cols[1][k] for k in order], True)
+    at, lists = np.zeros(0, np.int64), []
     if len(w.ids) >= WIDTH:
-        a = repeats.Anchors(w.hash, w.ends, WIDTH, GRAM)
-        at = a.at
         h = repeats.gram_hashes(w.hash, GRAM).view(np.int64)
-        doc = np.searchsorted(w.ends, at, "right")
-        cut, keep = np.searchsorted(doc, np.arange(len(order) + 1)), np.zeros(len(at), bool)
-        for k, src in enumerate(order):
-            s = slice(cut[k], cut[k + 1])
-            keep[s] = np.isin(h[at[s]], np.array(cols[2][src], np.int64))
-        hits = occurrences(w.hash, w.starts, w.ends, at[keep])
-        # occurrences that are the anchor of no window say nothing
-        at = np.intersect1d(hits, at, assume_unique=True)
+        phrases = [s + np.flatnonzero(np.isin(h[s : e - GRAM + 1], np.array(cols[2][src], np.int64))) for src, s, e in zip(order, w.starts.tolist(), w.ends.tolist()) if e - s >= WIDTH]
+        at = occurrences(w.ids, w.starts, w.ends, np.concatenate([np.zeros(0, np.int64), *phrases]))
+        a = repeats.Anchors(w.hash, w.ends, WIDTH, GRAM, at)
         lo, hi = a.windows(at)
         lists = [x for src in order for x in cols[3][src]]
+    t = pa.int64()
     if not len(at):
-        t = pa.int64()
-        return pa.RecordBatch.from_arrays([pa.array([], t), pa.array([], t), pa.array([], t), pa.array([], pa.int32()), pa.array([], pa.list_(t))], names=["h", "doc_id", "p", "mask", "ws"])
+        return pa.RecordBatch.from_arrays([pa.array([], t), pa.array([], t), pa.array([], t), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["h", "doc_id", "p", "mask", "ctx"])
     # all windows, in the order of their places; those seen before in the chunk are marked
     many = np.maximum(hi - lo + 1, 0)
     row = np.repeat(np.arange(len(at)), many)
     back = np.repeat(hi, many) - (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
     start = at[row] - back
-    ws = _window_hashes(w.hash)[start]
-    # (a window may have its anchor's phrase twice: it is told by its words before the place as well)
-    by = np.lexsort((start, back, ws, h[at[row]]))
-    same = _repeats(h[at[row]][by], ws[by], back[by])
-    again = np.zeros(len(row), bool)
-    again[by[same]] = True
+    again = _again(w.ids, start, back)
     doc = np.searchsorted(w.ends, start, "right")
     ids = np.array([cols[0][k] for k in order], np.int64)
     # marked windows that overlap are one range
@@ -146,11 +156,11 @@ def _windows(cols):
     new = np.concatenate([[True], (np.diff(m) > WIDTH) | (np.diff(d) != 0)]) if len(m) else np.zeros(0, bool)
     last = np.append(np.flatnonzero(new)[1:] - 1, len(m) - 1) if len(m) else np.zeros(0, np.int64)
     # the others go out with their anchor; those of hot anchors in shares
-    row, back, start, ws, doc = row[~again], back[~again], start[~again], ws[~again].view(np.int64), doc[~again]
+    row, back, start, doc = row[~again], back[~again], start[~again], doc[~again]
     key = h[at[row]]
     share = np.zeros(len(row), np.int64)
-    if len(lists):
-        hot = np.isin(key, np.unique(lists))
+    if lists:
+        hot = np.isin(key, np.unique(np.array(lists, np.int64)))
         share[hot] = back[hot] // SHARE + 1
         # the words that all windows of a share have, and which share it is
         core = repeats.gram_hashes(w.hash, 16)
@@ -158,28 +168,23 @@ def _windows(cols):
         key[hot] = mix(core[first] + share[hot].astype(np.uint64)).view(np.int64)
     name = row * 16 + share
     o = np.argsort(name, kind="stable")
-    name, row, back, ws, key = name[o], row[o], back[o], ws[o], key[o]
+    name, row, back, key = name[o], row[o], back[o], key[o]
     begin = np.flatnonzero(np.concatenate([[True], np.diff(name) != 0])) if len(name) else np.zeros(0, np.int64)
-    mask = np.bitwise_or.reduceat(1 << back, begin).astype(np.int32) if len(begin) else np.zeros(0, np.int32)
-    owner = np.searchsorted(w.ends, at[row[begin]], "right")
-    n, k = len(begin), int(new.sum())
+    none = np.zeros(0, np.int64)
+    mask = np.bitwise_or.reduceat(1 << back, begin) if len(begin) else none
+    most, least = (pick.reduceat(back, begin) if len(begin) else none for pick in (np.maximum, np.minimum))
+    place = at[row[begin]]
+    ctx = [w.text[x:y] for x, y in zip(w.place[place - most].tolist(), (w.place[place - least + WIDTH] - 1).tolist())]
+    owner = np.searchsorted(w.ends, place, "right")
+    k = int(new.sum())
     base = w.starts
-    nulls = pa.array([None] * k, pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([pa.array(key[begin]), pa.nulls(k, pa.int64())]),
+        pa.concat_arrays([pa.array(key[begin], t), pa.nulls(k, t)]),
         pa.array(np.concatenate([ids[owner], ids[d[new]]])),
-        pa.array(np.concatenate([at[row[begin]] - base[owner], m[new] - base[d[new]]])),
-        pa.array(np.concatenate([mask, (m[last] + WIDTH - m[new]).astype(np.int32)])),
-        pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.append(begin, len(ws)).astype(np.int32)), pa.array(ws)), nulls]),
-    ], names=["h", "doc_id", "p", "mask", "ws"])
-
-
-def _repeats(*columns: np.ndarray) -> np.ndarray:
-    """Whether each row is equal to the one before it."""
-    same = np.ones(max(0, len(columns[0]) - 1), bool)
-    for c in columns:
-        same &= c[1:] == c[:-1]
-    return np.concatenate([np.zeros(min(1, len(columns[0])), bool), same])
+        pa.array(np.concatenate([place - base[owner], m[new] - base[d[new]]])),
+        pa.array(np.concatenate([mask, m[last] + WIDTH - m[new]]).astype(np.int32)),
+        pa.concat_arrays([pa.array(ctx, pa.binary()), pa.nulls(k, pa.binary())]),
+    ], names=["h", "doc_id", "p", "mask", "ctx"])
 
 
 def _flat(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,12 +194,19 @@ def _flat(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, WIDTH - GRAM - k
 
 
-def resolve(h: np.ndarray, doc: np.ndarray, p: np.ndarray, mask: np.ndarray, ws: np.ndarray):
-    """(doc_id, s, e) of windows that an earlier row has; rows of one h, doc_id and place in order."""
+def resolve(doc: np.ndarray, p: np.ndarray, mask: np.ndarray, ctx: list[bytes]):
+    """(doc_id, s, e) of windows that an earlier row has; rows in order of doc_id and place. ``ctx``: the
+    words from the first window's start to the last one's end."""
     row, back = _flat(mask)
-    by = np.lexsort((row, back, ws, h[row]))
-    lost = by[_repeats(h[row][by], ws[by], back[by])]
-    least, most = np.full(len(h), WIDTH), np.full(len(h), -1)
+    known: dict[bytes, int] = {}
+    add = known.setdefault
+    parts = [[add(x, len(known)) for x in c.split()] for c in ctx]
+    ids = np.fromiter((x for s in parts for x in s), np.int32, sum(map(len, parts)))
+    begin = np.concatenate([[0], np.cumsum([len(s) for s in parts])])
+    top = np.zeros(len(mask), np.int64)
+    np.maximum.at(top, row, back)
+    lost = np.flatnonzero(_again(ids, begin[row] + top[row] - back, back))
+    least, most = np.full(len(mask), WIDTH), np.full(len(mask), -1)
     np.minimum.at(least, row[lost], back[lost])
     np.maximum.at(most, row[lost], back[lost])
     # windows of one anchor all hold it, so what they cover is one range
@@ -210,23 +222,26 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("t")).join(lists, "doc_id").select("doc_id", "t", "hs", "hot")
     found = table(map_chunks(rows, _windows, _OUT), "occurrences")
     going = found.where("h is not null")
-    partners = going.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("many"))
-    met = table(going.join(partners, "h"), "met")
-    dealt = met.where("not many").drop("many").repartition("h").sortWithinPartitions("h", "doc_id", "p")
+    many = repeats.frequent(going, hot)
+    few = going if many is None else going.join(many, "h", "left_anti")
+    dealt = few.repartition("h").sortWithinPartitions("h", "doc_id", "p")
 
     def run(batches):
         held: list | None = None
 
         def solve(cols):
-            d, s, e = resolve(*cols[:4], np.concatenate(cols[4]))
+            # (a phrase that no other row has says nothing)
+            same = cols[0][1:] == cols[0][:-1]
+            use = np.flatnonzero(np.append(same, False) | np.concatenate([[False], same]))
+            if not len(use):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc_id", "s", "e"])
+            d, s, e = resolve(*(c[use] for c in cols[1:4]), [cols[4][k] for k in use.tolist()])
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "s", "e"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            lists_ = b.column(4)
-            flat, off = lists_.flatten().to_numpy(), np.asarray(lists_.offsets)
-            cols = [c.to_numpy() for c in b.columns[:4]] + [np.split(flat, (off[1:-1] - off[0]).tolist())]
+            cols = [c.to_numpy() for c in b.columns[:4]] + [b.column(4).to_pylist()]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4]]
             # the last phrase's group may go on in the next batch
@@ -238,17 +253,24 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
             yield solve(held)
 
     def single(batches):
-        """Windows of rows that are too many for one task."""
+        """Windows of rows that are too many for one task: their words, words before the place, doc_id, start."""
         for b in batches:
-            row, back = _flat(b.column(3).to_numpy())
-            h, d, p = (b.column(k).to_numpy()[row] for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(4).flatten()), pa.array(back), pa.array(d), pa.array(p - back)], names=["h", "w", "back", "doc_id", "s"])
-
-    windows = map_arrow(met.where("many").drop("many"), single, "h long, w long, back long, doc_id long, s long")
-    first = windows.groupBy("h", "w", "back").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
-    spread = windows.join(first, ["h", "w", "back"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
+            out: list[list] = [[], [], [], []]
+            for d, p, m, c in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                words, top = c.split(), m.bit_length() - 1
+                for back in (k for k in range(top, -1, -1) if m >> k & 1):
+                    for o, v in zip(out, (b" ".join(words[top - back : top - back + WIDTH]), back, d, p - back)):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["w", "back", "doc_id", "s"])
+
+    spread = None
+    if many is not None:
+        windows = map_arrow(going.join(many, "h", "left_semi"), single, "w binary, back long, doc_id long, s long")
+        first = windows.groupBy("w", "back").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
+        spread = windows.join(first, ["w", "back"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
     settled = found.where("h is null").select("doc_id", F.col("p").alias("s"), (F.col("p") + F.col("mask")).alias("e"))
-    return settled.unionAll(map_arrow(dealt, run, "doc_id long, s long, e long")).unionAll(spread)
+    out = settled.unionAll(map_arrow(dealt, run, "doc_id long, s long, e long"))
+    return out if spread is None else out.unionAll(spread)
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -51,14 +51,20 @@ def order_hashes(units: np.ndarray, size: int) -> np.ndarray:
 class Anchors:
     """Anchors of a chunk of documents, whose units lie one after the other."""
 
-    def __init__(self, units: np.ndarray, ends: np.ndarray, width: int, gram: int):
-        """ends: where each document ends in ``units``."""
+    def __init__(self, units: np.ndarray, ends: np.ndarray, width: int, gram: int, only: np.ndarray | None = None):
+        """ends: where each document ends in ``units``; only: the places of grams that may be anchors (all).
+
+        A window's anchor is the same whichever other grams may be one, if its own is among them.
+        """
         self.width, self.gram = width, gram
         n = len(units)
         self.at = np.zeros(0, np.int64)
         if n < width:
             return
         h = order_hashes(units, gram)
+        if only is not None:
+            some, h = h, np.full(len(h), np.iinfo(np.uint32).max, np.uint32)
+            h[only] = np.minimum(some[only], h[0] - np.uint32(2))
         low = _slide(h, width - gram + 1, np.minimum)
         # windows that run over the end of a document are none
         start = np.concatenate([[0], ends[:-1]])
@@ -68,6 +74,9 @@ class Anchors:
         np.add.at(cross, np.minimum(ends, len(low)), -1)
         low[np.cumsum(cross[:-1]) > 0] = 0
         self.low, self.h = low, h
+        if only is not None:
+            self.at = only
+            return
         pad = np.zeros(width - gram, np.uint32)
         high = _slide(np.concatenate([pad, low, pad]), width - gram + 1, np.maximum)
         self.at = np.flatnonzero(h == high)
@@ -107,13 +116,20 @@ def recurring(docs: DataFrame, anchors_of, text: str, key: str, hot: int = HOT)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row] if len(ids) else ids)], names=["h", "doc_id"])
 
     met = table(map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "h long, doc_id long"), "anchors")
-    again = met.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    lists = met.join(again, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
+    # joined by another name of ``h``: counts are shuffled anew, so that Spark may split a frequent anchor's rows over tasks
+    again = met.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("k"), "n")
+    lists = met.withColumn("k", F.bitwise_not("h")).join(again, "k").groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     out = table(lists, "recurring")
     release(docs.sparkSession)
     return out
 
 
+def frequent(going: DataFrame, hot: int) -> DataFrame | None:
+    """h: names met more than ``hot`` times (a hundred-thousandth of the rows at most); None if there are none."""
+    many = table(going.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "frequent")
+    return None if many.isEmpty() else many
+
+
 def spans_of(marks: DataFrame) -> DataFrame:
     """doc_id, starts, ends: all marked ranges of a document."""
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("marks"))

@@ -254,9 +254,9 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("t")).join(lists, "doc_id").select("doc_id", "t", "hs", "hot")
     found = table(map_chunks(rows, _suffixes, "h long, doc_id long, p long, lo long, hi long, ctx binary"), "suffixes")
     going = found.where("h is not null")
-    partners = going.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("many"))
-    met = table(going.join(partners, "h"), "met")
-    dealt = met.where("not many").drop("many").repartition("h").sortWithinPartitions("h", "doc_id", "p")
+    many = repeats.frequent(going, hot)
+    few = going if many is None else going.join(many, "h", "left_anti")
+    dealt = few.repartition("h").sortWithinPartitions("h", "doc_id", "p")
 
     def single(batches):
         """Windows of suffixes that are too many for one task: w1, w2, doc_id, s."""
@@ -269,14 +269,22 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["w1", "w2", "doc_id", "s"])
 
-    windows = map_arrow(met.where("many").select("doc_id", "p", "lo", "hi", "ctx"), single, "w1 long, w2 long, doc_id long, s long")
-    first = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
-    spread = windows.join(first, ["w1", "w2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
+    spread = None
+    if many is not None:
+        windows = map_arrow(going.join(many, "h", "left_semi").select("doc_id", "p", "lo", "hi", "ctx"), single, "w1 long, w2 long, doc_id long, s long")
+        first = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("f")).where("n > 1")
+        spread = windows.join(first, ["w1", "w2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select("doc_id", "s", (F.col("s") + WIDTH).alias("e"))
 
     def run(batches):
         held: list | None = None
 
         def solve(cols):
+            # (an anchor that no other row has says nothing)
+            same = cols[0][1:] == cols[0][:-1]
+            use = np.flatnonzero(np.append(same, False) | np.concatenate([[False], same]))
+            if not len(use):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc_id", "s", "e"])
+            cols = [c[use] for c in cols[:5]] + [[cols[5][k] for k in use.tolist()]]
             lost, s, e = resolve(cols[2], cols[3], cols[4], cols[5])
             return pa.RecordBatch.from_arrays([pa.array(cols[1][lost]), pa.array(s), pa.array(e)], names=["doc_id", "s", "e"])
 
@@ -295,7 +303,8 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
             yield solve(held)
 
     more = map_arrow(dealt, run, "doc_id long, s long, e long")
-    return found.where("h is null").select("doc_id", F.col("p").alias("s"), F.col("lo").alias("e")).unionAll(more).unionAll(spread)
+    out = found.where("h is null").select("doc_id", F.col("p").alias("s"), F.col("lo").alias("e")).unionAll(more)
+    return out if spread is None else out.unionAll(spread)
 
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -93,9 +93,35 @@ def test_occurrences_in_slices(monkeypatch):
     import numpy as np
 
     rng = random.Random(4)
-    ids = np.array([rng.randint(0, 2) * 0x1234567890ABCDEF for _ in range(400)], np.uint64)
+    ids = np.array([rng.randint(0, 2) * 34_567 for _ in range(400)], np.int32)  # several letters a word
     starts, ends, at = np.array([0, 150]), np.array([150, 400]), np.array([3, 60, 200, 311])
     want = [s for a, b in zip(starts, ends) for s in range(a, b - 7) if any((ids[s : s + 8] == ids[p : p + 8]).all() for p in at)]
     for most in (1, 3, 100):
         monkeypatch.setattr(phrases, "PHRASES", most)
         assert phrases.occurrences(ids, starts, ends, at).tolist() == want
+
+
+def test_results_come_from_the_automaton(monkeypatch):
+    """Without what the automaton reports nothing is found; with it, places in documents that don't name the phrase are."""
+    import numpy as np
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(40))
+    texts = [(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) + " " + passage).encode() for _ in range(4)]
+    hs = [np.unique(phrases._anchors([t])[1].view(np.int64)).tolist() for t in texts]
+    both = sorted(set(hs[0]) & set(hs[1]))
+    cols = [[1, 2, 3, 4], texts, [both, both, [], []], [[]] * 4]
+    out = phrases._windows(cols).to_pylist()
+    assert {r["doc_id"] for r in out if r["h"] is None} == {2, 3, 4} and {r["doc_id"] for r in out if r["h"] is not None} >= {1}
+    auto = phrases.automaton
+    monkeypatch.setattr(phrases, "automaton", lambda names: auto({"~"}))
+    assert phrases._windows(cols).num_rows == 0
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(phrases, "mix", lambda x: x * np.uint64(0))
+    ids = np.array([*range(40), *range(20), *range(5, 25)], np.int32)
+    start, back = np.array([0, 40, 60, 20, 5]), np.array([3, 3, 3, 3, 3])
+    assert phrases._again(ids, start, back).tolist() == [False, True, False, False, True]
