@@ -42,10 +42,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in tests on one machine, is a temporary folder made.
+    Only where the setting is missing and all runs on one machine, as in tests, is a temporary folder made;
+    on a cluster that would be another folder on each machine, so it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         where = tempfile.mkdtemp(prefix="sparktext-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -82,6 +85,19 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, keep: int) -> None:
+    """Delete the written tables but for the first ``keep`` and the last one: what a finished stage has used."""
+    paths = _scratch.get(spark.sparkContext, [])
+    for p in paths[keep:-1]:
+        _delete(spark, p)
+    del paths[keep:-1]
+
+
+def tables(spark: SparkSession) -> int:
+    """How many written tables there are."""
+    return len(_scratch.get(spark.sparkContext, []))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live plan refers to any more."""
     import gc

@@ -200,6 +200,8 @@ def scan(docs: DataFrame, path: str, templates: dict[str, tuple[str, ...]] | Non
     steps = F.split("dir", "/")
     ups = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, 1, k), "/").alias("up")))).alias("a")).select("dir", "a.depth", "a.up")
     nearest = ups.join(givers, "up").groupBy("dir").agg(F.max(F.struct("depth", "up_license", "up_path")).alias("near")).select("dir", "near.up_license", "near.up_path")
-    out = found.join(nearest, "dir", "left")
+    # joined by another name of ``dir``: the small side is shuffled anew, so that Spark may split a large directory over tasks
+    nearest = nearest.select(F.concat(F.lit("/"), "dir").alias("at"), "up_license", "up_path")
+    out = found.withColumn("at", F.concat(F.lit("/"), "dir")).join(nearest, "at", "left")
     own = F.col("license").isNotNull()
     return out.select("doc_id", "path", F.coalesce("license", "up_license").alias("license"), "score", F.when(own, "own").when(F.col("up_license").isNotNull(), "inherited").alias("how"), F.when(own, F.col("path")).otherwise(F.col("up_path")).alias("from_path"))

@@ -15,7 +15,8 @@ labelled documents gets no cutoff, so its documents pass.
 
 Edge cases: null texts have no words (all counts 0) and fail the base test; null strata form a
 stratum of their own; repeated label rows of one document count by the lower label; labels without a
-document are ignored; extra columns are ignored.
+document are ignored; extra columns are ignored. Good documents that fail the base test are outside the
+guarantee: the base test rejects whatever labels say.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def measures(docs: DataFrame, stratum: str, text: str = "text", key: str = "doc_
         found = np.array([measure(t) for t in cols[1]], np.int64).reshape(-1, 6)
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[2], pa.string()), *(pa.array(found[:, k]) for k in range(6))], names=["doc_id", "stratum", *names])
 
-    rows = docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8"), F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    rows = docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
     return map_chunks(rows, run, "doc_id long, stratum string, " + ", ".join(f"{x} long" for x in names))
 
 
@@ -172,12 +173,13 @@ def _base():
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """Per document: its measures, base_failed, kept, and the rules that rejected it."""
+    """Per document: its measures, base_failed, kept, the rules that rejected it, and the number of cutoffs that
+    its stratum has (0: too few labels to bound the risk, so nothing but the base test rejects)."""
     spark = docs.sparkSession
     measured = table(measures(docs, stratum, text, key), "op9")
     cuts = calibrate(measured, labels, risk, delta, key, label)
     rules = spark.createDataFrame([(s, n, c) for (s, n), c in cuts.items()], "stratum string, rule string, cutoff double")
-    wide = rules.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == n, F.col("cutoff"))).alias(f"cut_{n}") for n in RULES))
+    wide = rules.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == n, F.col("cutoff"))).alias(f"cut_{n}") for n in RULES), F.count("*").alias("cutoffs"))
     joined = measured.join(F.broadcast(wide), "stratum", "left")  # at most MAX_STRATA rows
     broken = F.filter(F.array(*(F.when(F.expr(sql) >= F.col(f"cut_{n}"), F.lit(n)) for n, sql in RULES.items())), lambda x: x.isNotNull())
-    return joined.withColumn("base_failed", _base()).withColumn("broken", broken).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
+    return joined.withColumn("base_failed", _base()).withColumn("broken", broken).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken", F.coalesce("cutoffs", F.lit(0)).alias("cutoffs"))
