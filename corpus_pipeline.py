@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparktext.llm import bpe, decontam, quality, simhash, suffixdedup
-from sparktext.llm._common import read, table
+from sparktext.llm._common import drop_tables, read, table, tables
 from sparktext.llm.queries import vocabulary
 
 
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each stage's result is a written table."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), tables(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = table(stage(spark, docs, sf_dir), f"stage{k}")
+        drop_tables(spark, before)  # what the stage has written on its way, and its input
     return docs

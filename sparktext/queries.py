@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -414,7 +415,10 @@ def append_equals_rebuild(spark, sf):
 CAST(sum(new) AS BIGINT) AS bwt_runs FROM (SELECT *, CASE WHEN byte = lag(byte) OVER (ORDER BY rank) THEN 0 ELSE 1 END AS new FROM sa)""")
 def saved_index_info(spark, sf):
     corpus = Corpus.from_df(_read(spark, sf, "nation"), "n_name", "n_nationkey")
-    where = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparktext-")) + f"/index-{id(corpus)}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    where = f"{shared or tempfile.mkdtemp(prefix='sparktext-')}/index-{uuid.uuid4().hex}"
     catalog.save(catalog.build(corpus, occ="wavelet-tree", storage=Storage("external", "inverted", 8192)), where)
     return catalog.load(spark, where).info()
 
