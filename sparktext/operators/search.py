@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.byteview import context, view
-from ..plans.regex import Matcher, compile_literal, compile_pattern
+from ..plans.regex import Matcher, Program, check, compile_literal, compile_tree, literal_program, program
 from ..sources.corpus import GROUP, Corpus
+from . import fm
 
 #: Bytes of a suffix compared at first for the order of suffixes.
 PREFIX = 64
@@ -109,13 +110,13 @@ def positions(corpus: Corpus, m: Matcher) -> DataFrame:
     return placed.where(((F.col("k") > 0) | F.col("zero")) & (F.col("local") < F.col("size"))).select("doc_id", "ord", "local", (F.col("start") + F.col("local")).alias("pos"))
 
 
-def locate(corpus: Corpus, m: Matcher, limit: int = 0) -> DataFrame:
-    """Positions; with a limit, the first ones in the order of the suffixes that start there.
+def locate(corpus: Corpus, m: Matcher, limit: int = 0, found: DataFrame | None = None) -> DataFrame:
+    """Positions (``found``, if they are known); with a limit, the first ones in the order of the suffixes that start there.
 
     Suffixes are compared by ``PREFIX`` bytes first, which leaves little more than ``limit`` rows; those
     by the rest of their document and the start of what follows, then by place.
     """
-    found = positions(corpus, m)
+    found = positions(corpus, m) if found is None else found
     if limit <= 0:
         return found
     texts = corpus.df.select("ord", F.concat(view("body"), view("tail")).alias("own")).join(_halo(corpus, PREFIX), "ord").select("ord", F.concat("own", "halo").alias("seen"))
@@ -133,27 +134,31 @@ class Result:
     positions: DataFrame
 
 
-def search(corpus: Corpus, pattern: str, limit: int = 0) -> Result:
+def search(corpus: Corpus, pattern: str, limit: int = 0, index: DataFrame | None = None) -> Result:
     """A star-free regular expression: count before the limit, whether it cut, positions."""
-    return _result(corpus, compile_pattern(pattern), limit)
+    tree = check(pattern)
+    return _result(corpus, compile_tree(tree), limit, index, program(tree))
 
 
-def search_literal(corpus: Corpus, pattern: str | bytes, limit: int = 0, backend: str = "fm", compat: bool = False) -> Result:
+def search_literal(corpus: Corpus, pattern: str | bytes, limit: int = 0, backend: str = "fm", compat: bool = False, index: DataFrame | None = None) -> Result:
     """A byte string. The suffix-array backend finds nothing for the empty one; ``compat`` calls a
     result of exactly ``limit`` positions truncated, as the literal backends of the command line do."""
     m = compile_literal(pattern)
     if m.nullable and backend == "suffixarray":
         none = corpus.df.select("doc_id", "ord", F.lit(0).cast("long").alias("local"), F.col("start").alias("pos")).limit(0)
         return Result(none.agg(F.count("*").alias("total_count"), F.lit(False).alias("truncated")), none)
-    out = _result(corpus, m, limit)
+    out = _result(corpus, m, limit, index, literal_program(pattern))
     if compat and limit > 0:
         out.summary = out.summary.withColumn("truncated", F.col("total_count") >= limit)
     return out
 
 
-def _result(corpus: Corpus, m: Matcher, limit: int) -> Result:
-    total = count(corpus, m).select(F.col("n").alias("total_count"), ((F.col("n") > limit) & F.lit(limit > 0)).alias("truncated"))
-    return Result(total, locate(corpus, m, limit).orderBy("pos"))
+def _result(corpus: Corpus, m: Matcher, limit: int, index: DataFrame | None = None, steps: Program = ()) -> Result:
+    """By the index if there is one and it can answer the pattern, else by a scan."""
+    use = index is not None and not m.nullable and not m.accepts & _tails(corpus)
+    found = fm.positions(index, steps, m.accepts) if use else None
+    total = (fm.count(index, steps, m.accepts) if use else count(corpus, m)).select(F.col("n").alias("total_count"), ((F.col("n") > limit) & F.lit(limit > 0)).alias("truncated"))
+    return Result(total, locate(corpus, m, limit, found).orderBy("pos"))
 
 
 def snippets(corpus: Corpus, found: DataFrame, pat_len: int, around: int) -> DataFrame:

@@ -115,7 +115,14 @@ def suffix_table(texts: DataFrame, shard: str = "doc_id", body: str = "body", al
     """shard, rank, pos, bwt (0: sentinel) of each row's byte string. One task holds one shard at a time."""
     kernel = KERNELS[algorithm]
 
+    def batch(held):
+        keys, cols = [x[0] for x in held], [np.concatenate(c) for c in zip(*(x[1:] for x in held))]
+        index = pa.array(np.repeat(np.arange(len(keys)), [len(x[1]) for x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(index), *map(pa.array, cols)], names=["shard", "rank", "pos", "bwt"])
+
     def run(batches):
+        # short shards go out together, long ones in parts
+        held, size = [], 0
         for b in batches:
             for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = value or b""
@@ -124,8 +131,13 @@ def suffix_table(texts: DataFrame, shard: str = "doc_id", body: str = "body", al
                 bwt = bytes_[sa - 1]
                 for k in range(0, len(sa), 1 << 18):
                     part = slice(k, k + (1 << 18))
-                    m = len(sa[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.int64()), pa.array(np.arange(k, k + m)), pa.array(sa[part]), pa.array(bwt[part])], names=["shard", "rank", "pos", "bwt"])
+                    held.append((key, np.arange(k, k + len(sa[part])), sa[part], bwt[part]))
+                    size += len(sa[part])
+                    if size >= 1 << 18:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
 
     rows = texts.select(F.col(shard).cast("long").alias("shard"), F.col(body).alias("body"))
     return rows.mapInArrow(run, "shard long, rank long, pos long, bwt short")

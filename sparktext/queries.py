@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .functions.byteview import one_line
 from .functions.options import Storage
-from .operators import bidirectional, bits, explain, graph, occ, suffix
+from .operators import bidirectional, bits, explain, fm, graph, occ, suffix
 from .operators import search as ops
 from .plans import regex as rx
 from .sources import catalog, prepare
@@ -34,6 +35,14 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder in the folder that the cluster shares."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return f"{(shared or tempfile.mkdtemp(prefix='sparktext-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
@@ -415,14 +424,39 @@ def append_equals_rebuild(spark, sf):
 CAST(sum(new) AS BIGINT) AS bwt_runs FROM (SELECT *, CASE WHEN byte = lag(byte) OVER (ORDER BY rank) THEN 0 ELSE 1 END AS new FROM sa)""")
 def saved_index_info(spark, sf):
     corpus = Corpus.from_df(_read(spark, sf, "nation"), "n_name", "n_nationkey")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    where = f"{shared or tempfile.mkdtemp(prefix='sparktext-')}/index-{uuid.uuid4().hex}"
+    where = _shared(spark, "index")
     catalog.save(catalog.build(corpus, occ="wavelet-tree", storage=Storage("external", "inverted", 8192)), where)
     return catalog.load(spark, where).info()
 
 
+def _index(spark, sf):
+    """The documents' index, written to the shared folder and read back."""
+    where = _shared(spark, "fm")
+    fm.build(_docs(spark, sf)).write.parquet(where)
+    return spark.read.parquet(where)
+
+
+@query(ORACLE["multi_pattern_count"])
+def index_literal_count(spark, sf):
+    index = _index(spark, sf)
+    counts = [fm.count(index, rx.literal_program(p), rx.compile_literal(p).accepts).select(F.lit(p).alias("pattern"), "n") for p in _MANY]
+    return functools.reduce(DataFrame.unionAll, counts)
+
+
+@query(ORACLE["locate"])
+def index_locate(spark, sf):
+    return fm.positions(_index(spark, sf), rx.literal_program("the"), rx.compile_literal("the").accepts).select("doc_id", "local")
+
+
+_INDEXED = ("regex_alternation", "regex_class", "regex_optional", "regex_repeat", "regex_utf8")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS name, total_count AS n FROM ({ORACLE[k]})" for k in _INDEXED))
+def index_regex(spark, sf):
+    index, trees = _index(spark, sf), {k: rx.check(_REGEX[k][0]) for k in _INDEXED}
+    return functools.reduce(DataFrame.unionAll, [fm.count(index, rx.program(t), rx.compile_tree(t).accepts).select(F.lit(k).alias("name"), "n") for k, t in trees.items()])
+
+
 @query("SELECT concat_ws(' | ', nullif(trim(regexp_replace(p_name, '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(p_brand, '\\s+', ' ', 'g')), '')) AS text FROM part")
 def table_texts(spark, sf):
     return prepare.table_texts(_read(spark, sf, "part"))

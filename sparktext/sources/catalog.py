@@ -1,4 +1,4 @@
-"""Saved indexes: one folder with the corpus, the suffix tables, a rank table and a manifest.
+"""Saved indexes: one folder with the corpus, the shards that searches read, the suffix tables, a rank table and a manifest.
 
 Everything is written and read by Spark, so a folder may be in any store. Loading looks at the manifest
 to tell the backend, and refuses manifests whose fields don't fit together or the tables.
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.options import BACKENDS, OCC_ID, PERSIST_ID, Storage, magic, normalize
+from ..operators import fm as fm_ops
 from ..operators import occ as occ_ops
 from ..operators import search as ops
 from ..operators import suffix
@@ -32,6 +33,7 @@ class Index:
     storage: Storage = Storage()
     sa: DataFrame | None = None
     rev: DataFrame | None = None
+    fm: DataFrame | None = None
 
     @property
     def magic(self) -> str:
@@ -40,8 +42,8 @@ class Index:
     def search(self, pattern: str, limit: int = 0, compat: bool = False) -> ops.Result:
         """A star-free expression for the fm backend, a literal for the others."""
         if self.backend == "fm":
-            return ops.search(self.corpus, pattern, limit)
-        return ops.search_literal(self.corpus, pattern, limit, self.backend, compat)
+            return ops.search(self.corpus, pattern, limit, self.fm)
+        return ops.search_literal(self.corpus, pattern, limit, self.backend, compat, self.fm)
 
     def append(self, df: DataFrame, text: str = "text", key: str = "doc_id") -> Index:
         """The index of the corpus with more text at its end; options stay. Nothing to add: unchanged."""
@@ -53,30 +55,30 @@ class Index:
         """One row: backend, text_len, sa_len, alphabet_size, occ, storage, bwt_runs (fm only)."""
         s = self.corpus.stats().first()
         fm = self.backend == "fm"
-        r = suffix.run_count(self.sa).first()["runs"] if fm and self.sa is not None else None
+        # of one suffix table, or of the shards' (each shard has its own transform)
+        r = (suffix.run_count(self.sa) if self.sa is not None else self.fm.agg(F.sum("runs").alias("runs"))).first()["runs"] if fm else None
         a = self.corpus.alphabet_size().first()["alphabet_size"] if fm else None
         spark = self.corpus.rows.sparkSession
         return spark.createDataFrame([(self.backend, s["text_len"], s["sa_len"] if fm else None, a, self.occ if fm else None, str(self.storage) if fm else None, r)], "backend string, text_len long, sa_len long, alphabet_size long, occ string, storage string, bwt_runs long")
 
 
 def build(corpus: Corpus, backend: str = "fm", algorithm: str = "sais", occ: str = "rlbwt", storage: Storage = Storage()) -> Index:
-    """An index of a corpus of at most ``suffix.MAX_SHARD`` bytes; larger ones are scanned and keep no
-    suffix table."""
+    """An index of a corpus of any size: shards with rank columns, which searches use. Up to
+    ``suffix.MAX_SHARD`` bytes there is one suffix table of the whole corpus too, for graphs and traces."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}")
     occ, storage = normalize(occ, storage)
     size = corpus.stats().first()["text_len"]
+    shards = fm_ops.build(corpus, algorithm=algorithm).persist()
     if size > suffix.MAX_SHARD:
-        return Index(corpus, backend, algorithm, occ, storage)
-    spark = corpus.rows.sparkSession
+        return Index(corpus, backend, algorithm, occ, storage, fm=shards)
     one = suffix.one_shard(corpus)
     sa = suffix.suffix_table(one, "shard", "body", algorithm)
     rev = None
     if backend == "bifm":
         mirror = one.select("shard", F.encode(F.reverse(F.decode("body", "ISO-8859-1")), "ISO-8859-1").alias("body"))
         rev = suffix.suffix_table(mirror, "shard", "body", algorithm)
-    del spark
-    return Index(corpus, backend, algorithm, occ, storage, sa, rev)
+    return Index(corpus, backend, algorithm, occ, storage, sa, rev, shards)
 
 
 def save(index: Index, path: str) -> DataFrame:
@@ -93,6 +95,8 @@ def save(index: Index, path: str) -> DataFrame:
         written.append((name, spark.read.parquet(f"{path}/{name}").count()))
 
     put("corpus", index.corpus.df)
+    if index.fm is not None:
+        put("fm", index.fm)
     if index.sa is not None:
         put("sa", index.sa, order=["shard", "rank"])
         if index.backend == "fm" and (index.occ == "bitvectors" or index.storage.mode == "external"):
@@ -154,4 +158,4 @@ def load(spark: SparkSession, path: str) -> Index:
     if sa is not None and sa.count() != m["sa_len"]:
         raise ValueError("suffix table and manifest differ in length")
     rev = spark.read.parquet(f"{path}/rev") if "rev" in tables else None
-    return Index(corpus, m["backend"], m["algorithm"], m["occ"], Storage(m["mode"], m["strategy"], m["block_size"]), sa, rev)
+    return Index(corpus, m["backend"], m["algorithm"], m["occ"], Storage(m["mode"], m["strategy"], m["block_size"]), sa, rev, spark.read.parquet(f"{path}/fm") if "fm" in tables else None)

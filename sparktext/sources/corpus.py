@@ -32,7 +32,8 @@ class Corpus:
 
     @classmethod
     def from_df(cls, df: DataFrame, text: str = "text", key: str = "doc_id", sep: bytes | str = b"\n") -> Corpus:
-        """One document a row, in the order of an integer key; null texts are empty."""
+        """One document a row, in the order of an integer key; null texts are empty. Keys must be distinct and
+        not null for anything that has positions (an error if not); counts take rows as they are."""
         sep = sep.encode() if isinstance(sep, str) else sep
         if b"\0" in sep:
             raise ValueError("separator must not contain 0x00 (sentinel byte)")
@@ -72,11 +73,15 @@ class Corpus:
     @functools.cached_property
     def df(self) -> DataFrame:
         """doc_id, ord, body, tail, byte_len, start."""
-        sized = self.rows.withColumn("byte_len", F.octet_length("body").cast("long")).withColumn("span", F.col("byte_len") + F.octet_length("tail"))
+        known = F.coalesce("ord", F.raise_error(F.lit("keys of documents must be distinct and not null")).cast("long"))
+        sized = self.rows.withColumn("ord", known).withColumn("byte_len", F.octet_length("body").cast("long")).withColumn("span", F.col("byte_len") + F.octet_length("tail"))
         narrow = sized.select("ord", "span").withColumn("g", F.floor(F.col("ord") / GROUP))
         groups = narrow.groupBy("g").agg(F.sum("span").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        inner = Window.partitionBy("g").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-        starts = narrow.withColumn("before", F.coalesce(F.sum("span").over(inner), F.lit(0))).join(groups.select("g", "base"), "g").select("ord", (F.col("before") + F.col("base")).alias("start"))
+        order = Window.partitionBy("g").orderBy("ord")
+        # equal keys have no order, and texts would be joined to the wrong starts
+        wrong = F.coalesce(F.lag("ord").over(order) == F.col("ord"), F.lit(False))
+        before = F.when(wrong, F.raise_error(F.lit("keys of documents must be distinct and not null"))).otherwise(F.coalesce(F.sum("span").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        starts = narrow.withColumn("before", before).join(groups.select("g", "base"), "g").select("ord", (F.col("before") + F.col("base")).alias("start"))
         return sized.join(starts, "ord").select("doc_id", "ord", "body", "tail", "byte_len", "start")
 
     def stats(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktext import cli
 from sparktext.functions import options, stats
 from sparktext.functions.byteview import one_line
-from sparktext.operators import bidirectional, bits, explain, graph, occ, suffix
+from sparktext.operators import bidirectional, bits, explain, fm, graph, occ, suffix
 from sparktext.operators import search as ops
 from sparktext.plans import regex as rx
 from sparktext.sources import catalog, prepare
@@ -299,3 +299,30 @@ def test_context_snippets_over_all_documents(spark, tmp_path):
                 high += 1
             want[i, p] = b[low:high].decode()
     assert got == want
+
+
+def test_index_equals_scan(spark):
+    """Literals and star-free expressions by backward search in several shards give what a scan gives."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abnÿé上x ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", "banana" * 30]
+    corpus = Corpus.from_texts(spark, texts)
+    index = fm.build(corpus, 200).cache()
+    assert index.count() > 3
+    for pattern in ("ana", "上", "é|an", "[a-c]{1,3}n", "(an){2,3}a?", "(?i)BAN", "x.a", "(a|b)(n|é)?x", "zz", "a|[^\\x00-\\x7F]"):
+        want = ops.search(corpus, pattern)
+        got = ops.search(corpus, pattern, index=index)
+        assert got.summary.first() == want.summary.first(), pattern
+        assert at(got) == at(want), pattern
+    assert at(ops.search(corpus, "an", 3, index)) == at(ops.search(corpus, "an", 3))
+    assert at(ops.search_literal(corpus, "é", index=index)) == at(ops.search_literal(corpus, "é"))
+    found = {(r["ord"], r["local"]) for r in fm.positions(index, rx.literal_program("nan"), frozenset(b"nan")).collect()}
+    assert found == {(k, p) for k, t in enumerate(texts) for b in [t.encode()] for p in range(len(b)) if b[p : p + 3] == b"nan"}
+    assert fm.build(Corpus.from_texts(spark, [])).select("n", "runs").collect() == [(1, 1)]
+
+
+def test_keys_must_be_distinct(spark):
+    for ids in ((1, 1), (1, None)):
+        c = Corpus.from_df(spark.createDataFrame([(i, "the") for i in ids], "doc_id long, text string"))
+        assert ops.count(c, rx.compile_literal("the")).first()["n"] == 2
+        with pytest.raises(Exception, match="distinct"):
+            ops.locate(c, rx.compile_literal("the")).collect()
