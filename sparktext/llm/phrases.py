@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._common import map_arrow, map_chunks, mix, table
+from ._common import drop_tables, map_arrow, map_chunks, mix, table, tables
 
 WIDTH, GRAM = 20, 8
 #: Phrases of an automaton, and windows of an often met phrase that are dealt together.
@@ -275,7 +275,9 @@ def marks(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = r
 
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, marks (array of word ranges), copy (whether an earlier document has the same text)."""
+    before = tables(docs.sparkSession)
     spans = table(repeats.spans_of(marks(docs, text, key)), "spans")
+    drop_tables(docs.sparkSession, before)  # what marks has written on its way
     gone = repeats.copies(docs, text, key).withColumn("copy", F.lit(True))
     return spans.join(gone, "doc_id", "full_outer").select("doc_id", F.coalesce("marks", F.array()).alias("marks"), F.coalesce("copy", F.lit(False)).alias("copy"))
 

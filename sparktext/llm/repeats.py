@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_chunks, mix, release, table
+from ._common import drop_tables, map_chunks, mix, release, table, tables
 
 #: An anchor met more often than this is spread by whole windows instead of by its hash.
 HOT = 100_000
@@ -115,11 +115,13 @@ def recurring(docs: DataFrame, anchors_of, text: str, key: str, hot: int = HOT)
         ids = np.array([cols[0][k] for k in use], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row] if len(ids) else ids)], names=["h", "doc_id"])
 
+    before = tables(docs.sparkSession)
     met = table(map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "h long, doc_id long"), "anchors")
     # joined by another name of ``h``: counts are shuffled anew, so that Spark may split a frequent anchor's rows over tasks
     again = met.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("k"), "n")
     lists = met.withColumn("k", F.bitwise_not("h")).join(again, "k").groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     out = table(lists, "recurring")
+    drop_tables(docs.sparkSession, before)  # the anchors
     release(docs.sparkSession)
     return out
 

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, map_chunks, mix, table
+from ._common import drop_tables, map_arrow, map_chunks, mix, table, tables
 
 #: The fixed generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -336,9 +336,10 @@ def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -
     return map_arrow(rows, run, "name long, a long, b long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False):
+def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False, sizes: tuple | None = None, share: float = 0.0):
     """Edges between clusters that link the fingerprints a (rows of parts; clusters ca, nodes na) with
-    b, each with its two nodes: a spanning forest or, with ``every``, all links between clusters.
+    b, each with its two nodes: a spanning forest or, with ``every``, all links between clusters. Sets whose
+    sizes differ by more than ``share`` can't be that similar and are left out.
     Yields arrays of bounded size."""
     names, both = np.unique(np.concatenate([ca, cb]), return_inverse=True)
     if len(names) < 2:
@@ -355,7 +356,11 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np
     out = []
     for k in range(0, len(a), 256):
         away = sum(np.bitwise_count(a[k : k + 256, None, p] ^ b[None, :, p]).astype(np.int16) for p in range(a.shape[1]))
-        x, y = np.nonzero((away <= limit) & (ia[k : k + 256, None] != ib[None, :]))
+        near = (away <= limit) & (ia[k : k + 256, None] != ib[None, :])
+        if share:
+            one, two = sizes[0][k : k + 256, None], sizes[1][None, :]
+            near &= np.minimum(one, two) >= share * np.maximum(one, two)
+        x, y = np.nonzero(near)
         if every:
             yield np.stack([ca[k + x], cb[y], na[k + x], nb[y]], 1)
             continue
@@ -368,7 +373,7 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np
         yield np.array(out, np.int64)
 
 
-def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes: bool = False, every: bool = False) -> DataFrame:
+def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes: bool = False, every: bool = False, share: float = 0.0) -> DataFrame:
     """Edges (a, b) between clusters, with ``nodes`` by their nodes (x, y), from buckets (key, node, cluster, f0..) that hold two clusters or more.
 
     Members are dealt in blocks by a hash of the node; a bucket of n members has ceil(n / block)
@@ -378,23 +383,23 @@ def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes
     rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     fs = [f"f{p}" for p in range(parts)]
     ids = ["node"] if nodes else []
-    dealt = rows.select("key", "own", "cluster", *ids, *fs, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", *ids, *fs)
+    dealt = rows.select("key", "own", "cluster", *ids, *fs, "size", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", *ids, *fs, "size")
     # groups are small and many: a task takes its share of groups as one sorted run
     dealt = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
 
     def solve(cols):
         key, i, j, own, cl = cols[:5]
         node = cols[5] if nodes else cl
-        fp = np.stack(cols[5 + nodes :], 1).view(np.uint64)
+        fp, size = np.stack(cols[5 + nodes : -1], 1).view(np.uint64), cols[-1]
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         for s, e in zip([0, *cut], [*cut, len(key)]):
-            x, c, n, o = fp[s:e], cl[s:e], node[s:e], own[s:e]
+            x, c, n, o, z = fp[s:e], cl[s:e], node[s:e], own[s:e], size[s:e]
             if i[s] == j[s]:
-                yield from _forest(x, x, c, c, n, n, limit, every)
+                yield from _forest(x, x, c, c, n, n, limit, every, (z, z), share)
             else:
                 p, q = o == i[s], o == j[s]
-                yield from _forest(x[p], x[q], c[p], c[q], n[p], n[q], limit, every)
+                yield from _forest(x[p], x[q], c[p], c[q], n[p], n[q], limit, every, (z[p], z[q]), share)
 
     def batches_of(found):
         held, size = [], 0
@@ -459,31 +464,39 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, near: int | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, near: int | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None, share: float = 0.0) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
     fingerprints (f0, ...). Nodes link at ``limit`` or fewer differing bits over all parts; they meet by
     the keys (``wide`` ones, or sure ones) of the first ``keyed`` parts. One key in common brings a pair to
-    the check, first of the last part's bits alone (``near`` or fewer may differ), then of all."""
+    the check, first of the last part's bits alone (``near`` or fewer may differ), then of all.
+    ``share``: what the smaller set's size must be of the larger one's (column ``size``)."""
     fs = [f"f{p}" for p in range(parts)]
+    spark = nodes.sparkSession
+    before = tables(spark)
+    if "size" not in nodes.columns:
+        nodes = nodes.withColumn("size", F.lit(1).cast("long"))
     met = table(_meet(*_buckets(nodes, keyed, wide, fs[-1]), limit if near is None else near, block), "met")
     links = met.where("name is null").select("a", "b").distinct()
     if parts > 1:
-        low = nodes.select(F.col("node").alias("a"), *(F.col(f).alias(f"l{f}") for f in fs))
+        low = nodes.select(F.col("node").alias("a"), F.col("size").alias("lsize"), *(F.col(f).alias(f"l{f}") for f in fs))
         away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
-        links = links.join(low, "a").join(nodes.select(F.col("node").alias("b"), *fs), "b").where(away <= limit).select("a", "b")
+        links = links.join(low, "a").join(nodes.select(F.col("node").alias("b"), "size", *fs), "b").where((away <= limit) & (F.least("size", "lsize") >= share * F.greatest("size", "lsize"))).select("a", "b")
     if confirm is not None:
         links = confirm(links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
     linked = components(links).withColumnRenamed("node", "a")
-    label = table(nodes.join(linked, nodes["node"] == linked["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs), "clusters")
+    label = table(nodes.join(linked, nodes["node"] == linked["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs, "size"), "clusters")
+    drop_tables(spark, before + 1)  # all but the buckets and the labels
     again = met.where("name is not null").select(F.col("name").alias("key"), F.col("a").alias("node")).distinct()
     if again.isEmpty():
         return label.select("node", "cluster")
     # a forest by bits joins most of what belongs together; a link that isn't confirmed may hide another
     # between the same clusters, so all links between the clusters that are left are tried after it
     for every in (False,) if confirm is None else (False, True):
-        edges = _cross(again.join(label, "node"), parts, limit, block, confirm is not None, every)
+        edges = _cross(again.join(label, "node"), parts, limit, block, confirm is not None, every, share)
         more = components(edges if confirm is None else confirm(edges)).withColumnRenamed("node", "a")
-        label = table(label.join(more, label["cluster"] == more["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *fs), "clusters")
+        label = table(label.join(more, label["cluster"] == more["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *fs, "size"), "clusters")
+        drop_tables(spark, before + 1)
+    drop_tables(spark, before)
     return label.select("node", "cluster")
 
 
@@ -544,7 +557,7 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts:
     names = [*(f"f{p}" for p in range(parts)), "size", "digest"]
     marked = table(fingerprints(docs, size, parts, text, key, True), "fingerprints")
     nodes = table(marked.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    found = clusters(nodes, parts, keyed, bits_at(similarity, parts), True, near=bits_at(similarity, 1), confirm=confirmed(docs, similarity, size, text, key))
+    found = clusters(nodes, parts, keyed, bits_at(similarity, parts), True, near=bits_at(similarity, 1), confirm=confirmed(docs, similarity, size, text, key), share=similarity)
     groups = marked.join(nodes.join(found, "node"), names).where("doc_id <> cluster")
     out = groups.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(out, docs[key] == out["_gone"], "left_anti")
