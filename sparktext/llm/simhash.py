@@ -57,6 +57,8 @@ BLOCK = 4096
 FEW = 2
 #: Bins in which keys are counted to find those that need several tasks; rows of keys for each task.
 BINS, TASK_ROWS = 1 << 16, 1 << 20
+#: 64-bit words of the parities kept of a shingle set: hashes are counted in 64 * ODD cells.
+ODD = 8
 
 
 def fingerprint(data: bytes | None, size: int = 4, parts: int = 1) -> list[int]:
@@ -93,21 +95,32 @@ def _bits(hashes: np.ndarray, parts: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, size: int = 4, parts: int = 1, text: str = "text", key: str = "doc_id", sets: bool = False) -> DataFrame:
     """doc_id, f0, f1, ... (the fingerprint's parts as signed 64-bit integers), size (of shingles; with
-    ``sets`` distinct ones) and, with ``sets``, their set's digest."""
+    ``sets`` distinct ones) and, with ``sets``, their set's digest and o0, o1, ... (its parities)."""
     names = [f"f{p}" for p in range(parts)]
+    odds = [f"o{k}" for k in range(ODD)] if sets else []
 
     def run(cols):
-        fp, sizes, digests = [], [], []
+        fp, sizes, digests, odd = [], [], [], []
         for t in cols[1]:
             h = shingles(t, size)
             fp.append(_bits(h, parts))
             h = np.unique(h) if sets else h
             sizes.append(len(h))
             digests.append(xxhash.xxh3_64_intdigest(h.tobytes()) if sets else 0)
+            if sets:
+                odd.append(parities(h))
+        odd = np.array(odd, np.uint64).reshape(-1, ODD).view(np.int64)
         fp = np.array(fp, np.uint64).reshape(-1, parts).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts)), pa.array(sizes, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["doc_id", *names, "size", "digest"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(parts)), pa.array(sizes, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(odds)))], names=["doc_id", *names, "size", "digest", *odds])
 
-    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", size long, digest long")
+    return map_chunks(docs.select(F.col(key).cast("long"), F.encode(text, "UTF-8")), run, ", ".join(f"{x} long" for x in ("doc_id", *names, "size", "digest", *odds)))
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of each of 64 * ODD cells, whether an odd number of a set's hashes lies in it. Where two sets' parities
+    differ, a hash lies in one set only, so sets differ in at least as many hashes as their parities in bits."""
+    n = np.bincount((hashes % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -336,10 +349,11 @@ def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -
     return map_arrow(rows, run, "name long, a long, b long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False, sizes: tuple | None = None, share: float = 0.0):
+def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False, sizes: tuple | None = None, odd: tuple | None = None, share: float = 0.0):
     """Edges between clusters that link the fingerprints a (rows of parts; clusters ca, nodes na) with
     b, each with its two nodes: a spanning forest or, with ``every``, all links between clusters. Sets whose
-    sizes differ by more than ``share`` can't be that similar and are left out.
+    sizes or parities rule out a similarity of ``share`` are left out: those of that similarity have at most
+    (1 - share) / (1 + share) of the two sizes' sum in one set only.
     Yields arrays of bounded size."""
     names, both = np.unique(np.concatenate([ca, cb]), return_inverse=True)
     if len(names) < 2:
@@ -361,6 +375,10 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np
             one, two = sizes[0][k : k + 256, None], sizes[1][None, :]
             near &= np.minimum(one, two) >= share * np.maximum(one, two)
         x, y = np.nonzero(near)
+        if share and len(x):
+            apart = sum(np.bitwise_count(odd[0][k + x, p] ^ odd[1][y, p]).astype(np.int16) for p in range(ODD))
+            ok = apart <= (1 - share) / (1 + share) * (sizes[0][k + x] + sizes[1][y]) + 1e-6
+            x, y = x[ok], y[ok]
         if every:
             yield np.stack([ca[k + x], cb[y], na[k + x], nb[y]], 1)
             continue
@@ -381,7 +399,7 @@ def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes
     """
     spread = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("m"))
     rows = buckets.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    fs = [f"f{p}" for p in range(parts)]
+    fs = [f"f{p}" for p in range(parts)] + ([f"o{k}" for k in range(ODD)] if share else [])
     ids = ["node"] if nodes else []
     dealt = rows.select("key", "own", "cluster", *ids, *fs, "size", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", *ids, *fs, "size")
@@ -394,12 +412,12 @@ def _cross(buckets: DataFrame, parts: int, limit: int, block: int = BLOCK, nodes
         fp, size = np.stack(cols[5 + nodes : -1], 1).view(np.uint64), cols[-1]
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         for s, e in zip([0, *cut], [*cut, len(key)]):
-            x, c, n, o, z = fp[s:e], cl[s:e], node[s:e], own[s:e], size[s:e]
+            x, w, c, n, o, z = fp[s:e, :parts], fp[s:e, parts:], cl[s:e], node[s:e], own[s:e], size[s:e]
             if i[s] == j[s]:
-                yield from _forest(x, x, c, c, n, n, limit, every, (z, z), share)
+                yield from _forest(x, x, c, c, n, n, limit, every, (z, z), (w, w), share)
             else:
                 p, q = o == i[s], o == j[s]
-                yield from _forest(x[p], x[q], c[p], c[q], n[p], n[q], limit, every, (z[p], z[q]), share)
+                yield from _forest(x[p], x[q], c[p], c[q], n[p], n[q], limit, every, (z[p], z[q]), (w[p], w[q]), share)
 
     def batches_of(found):
         held, size = [], 0
@@ -469,8 +487,9 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     fingerprints (f0, ...). Nodes link at ``limit`` or fewer differing bits over all parts; they meet by
     the keys (``wide`` ones, or sure ones) of the first ``keyed`` parts. One key in common brings a pair to
     the check, first of the last part's bits alone (``near`` or fewer may differ), then of all.
-    ``share``: what the smaller set's size must be of the larger one's (column ``size``)."""
+    ``share``: similarity of sets (columns ``size``, ``o0``, ...) that a link's sizes and parities must allow."""
     fs = [f"f{p}" for p in range(parts)]
+    of = [*fs, "size", *(f"o{k}" for k in range(ODD if share else 0))]
     spark = nodes.sparkSession
     before = tables(spark)
     if "size" not in nodes.columns:
@@ -478,13 +497,19 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     met = table(_meet(*_buckets(nodes, keyed, wide, fs[-1]), limit if near is None else near, block), "met")
     links = met.where("name is null").select("a", "b").distinct()
     if parts > 1:
-        low = nodes.select(F.col("node").alias("a"), F.col("size").alias("lsize"), *(F.col(f).alias(f"l{f}") for f in fs))
-        away = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
-        links = links.join(low, "a").join(nodes.select(F.col("node").alias("b"), "size", *fs), "b").where((away <= limit) & (F.least("size", "lsize") >= share * F.greatest("size", "lsize"))).select("a", "b")
+        low = nodes.select(F.col("node").alias("a"), *(F.col(c).alias(f"l{c}") for c in of))
+
+        def differ(names: list[str]):
+            return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in names), F.lit(0))
+
+        may = differ(fs) <= limit
+        if share:
+            may &= (F.least("size", "lsize") >= share * F.greatest("size", "lsize")) & (differ(of[parts + 1 :]) <= (1 - share) / (1 + share) * (F.col("size") + F.col("lsize")) + 1e-6)
+        links = links.join(low, "a").join(nodes.select(F.col("node").alias("b"), *of), "b").where(may).select("a", "b")
     if confirm is not None:
         links = confirm(links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
     linked = components(links).withColumnRenamed("node", "a")
-    label = table(nodes.join(linked, nodes["node"] == linked["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *fs, "size"), "clusters")
+    label = table(nodes.join(linked, nodes["node"] == linked["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *of), "clusters")
     drop_tables(spark, before + 1)  # all but the buckets and the labels
     again = met.where("name is not null").select(F.col("name").alias("key"), F.col("a").alias("node")).distinct()
     if again.isEmpty():
@@ -494,7 +519,7 @@ def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_
     for every in (False,) if confirm is None else (False, True):
         edges = _cross(again.join(label, "node"), parts, limit, block, confirm is not None, every, share)
         more = components(edges if confirm is None else confirm(edges)).withColumnRenamed("node", "a")
-        label = table(label.join(more, label["cluster"] == more["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *fs, "size"), "clusters")
+        label = table(label.join(more, label["cluster"] == more["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *of), "clusters")
         drop_tables(spark, before + 1)
     drop_tables(spark, before)
     return label.select("node", "cluster")
@@ -556,7 +581,8 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, parts:
     """
     names = [*(f"f{p}" for p in range(parts)), "size", "digest"]
     marked = table(fingerprints(docs, size, parts, text, key, True), "fingerprints")
-    nodes = table(marked.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    # rows of one digest have one set, so its parities as well
+    nodes = table(marked.groupBy(*names).agg(F.min("doc_id").alias("node"), *(F.min(f"o{k}").alias(f"o{k}") for k in range(ODD))).where("node is not null"), "nodes")
     found = clusters(nodes, parts, keyed, bits_at(similarity, parts), True, near=bits_at(similarity, 1), confirm=confirmed(docs, similarity, size, text, key), share=similarity)
     groups = marked.join(nodes.join(found, "node"), names).where("doc_id <> cluster")
     out = groups.select(F.col("doc_id").alias("_gone")).distinct()

@@ -208,3 +208,35 @@ def test_bins_with_many_keys_are_dealt_over_tasks(spark, monkeypatch):
     assert plain_ == dict(enumerate(up))
     monkeypatch.setattr(simhash, "_shares", lambda *a: (np.full(simhash.BINS, 3), 100_000))
     assert {r["node"]: r["cluster"] for r in simhash.clusters(nodes, block=40).collect()} == plain_
+
+
+def test_parities_never_say_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 400, 5000):
+        a = rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+        for away in (0, 1, n // 10, n):
+            b = np.concatenate([a[away:], rng.integers(0, 2**63, away, dtype=np.int64).view(np.uint64)])
+            apart = np.bitwise_count(simhash.parities(np.unique(a)) ^ simhash.parities(np.unique(b))).sum()
+            assert apart <= len(np.setxor1d(a, b))
+            assert away or not apart
+
+
+def test_a_dense_group_of_short_copies_around_the_limit(spark):
+    """Short texts of one base, many just below the similarity: the same groups as by comparing all pairs."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(45)]
+    rows = []
+    for k in range(150):
+        w = [*base]
+        for p in rng.sample(range(45), rng.randint(0, 2)):
+            w[p] = f"v{rng.randint(0, 3)}"
+        rows.append((k, " ".join(w)))
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if up[i] != up[j] and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 1 < len(set(up)) < 140 and kept >= set(up)  # no two groups are joined
+    assert len(kept) <= len(set(up)) + 0.1 * (len(rows) - len(set(up)))
