@@ -12,9 +12,9 @@ second one half of each of the two segments is equal, and the two halves and the
 a key (33 bits, 3 choices of the third, 4 of the halves, up to 6 keys each). Candidates are verified.
 
 Fingerprints are first made distinct (copies collapse in a partial aggregation), so groups of exact
-copies never meet. A key goes out with its node and 64 check bits; rows of one key lie together after
-one shuffle, and the task that holds them compares them there, so pairs that meet by chance are
-never rows of a table. Links are found without emitting all pairs of a group:
+copies never meet. A key goes out with its node and 64 check bits, packed with the others of its slot, so
+that the shuffle grows as the keys do; rows of one key lie together after one shuffle, and the task
+that holds them compares them there, so pairs that meet by chance are never rows of a table. Links are found without emitting all pairs of a group:
 
 1. a bucket gives its links if they are few (``FEW`` times its members at most), else one link for each
    member and, for round 2, its members under the digest of their set: buckets with the same
@@ -57,6 +57,8 @@ BLOCK = 4096
 FEW = 2
 #: Bins in which keys are counted to find those that need several tasks; rows of keys for each task.
 BINS, TASK_ROWS = 1 << 16, 1 << 20
+#: Slots of keys for each task, which holds the rows of one slot at a time.
+SLOTS = 8
 #: 64-bit words of the parities kept of a shingle set: hashes are counted in 64 * ODD cells.
 ODD = 8
 
@@ -212,6 +214,12 @@ def _bin(key: np.ndarray) -> np.ndarray:
     return (mix(key.view(np.uint64)) >> np.uint64(48)).astype(np.int64)
 
 
+def _share(key: np.ndarray, node: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The share of its key that a node's row belongs to (0 but for keys of bins that are dealt over several)."""
+    n = shares[_bin(key)]
+    return np.where(n > 1, (mix(node.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), 0)
+
+
 def _shares(nodes: DataFrame, keyed: int, wide: bool) -> tuple[np.ndarray, int]:
     """Tasks over which the keys of each bin are dealt (1 but for bins with far more keys than most), and
     the number of all keys. Bins are a fixed number, however many keys there are."""
@@ -233,26 +241,43 @@ def _shares(nodes: DataFrame, keyed: int, wide: bool) -> tuple[np.ndarray, int]:
     return np.maximum(1, -(-n // most)), total
 
 
+def _pack(*cols: np.ndarray) -> bytes:
+    """Columns of 64-bit values, byte by byte: equal high bytes lie together, so that little is left of them
+    once compressed, however few rows there are."""
+    return np.stack(cols).view(np.uint8).reshape(len(cols), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
+
 def _buckets(nodes: DataFrame, keyed: int, wide: bool, check: str) -> tuple[DataFrame, np.ndarray]:
-    """(key, share, node, bits) for each key of each node's first ``keyed`` parts, dealt and sorted by key
-    and share, and the number of shares by bin."""
+    """(slot, rows) for the keys of each node's first ``keyed`` parts, dealt and sorted by slot, and the number of
+    shares by bin. A slot takes whole buckets (keys, or shares of one); its rows (key, node, check bits) of one
+    block of nodes are packed together, so that a key costs its bytes and no row of its own."""
     fs = [f"f{p}" for p in range(keyed)]
     # nodes are small and their keys many: tasks by the number of nodes, so that none makes millions of keys at once
     nodes = nodes.repartition(nodes.count() // (2 * BLOCK) + 1, "node").select("node", *fs, F.col(check).alias("bits"))
     shares, total = _shares(nodes, keyed, wide)
+    tasks = total // TASK_ROWS + 1
+    slots = tasks * SLOTS
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, BLOCK):
                 part = b.slice(k, BLOCK)
                 node, bits = part.column(0).to_numpy(), part.column(part.num_columns - 1).to_numpy()
-                for row, key in _keyed(part, keyed, wide):
-                    n = shares[_bin(key)]
-                    share = np.where(n > 1, (mix(node[row].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(share.astype(np.int32)), pa.array(node[row]), pa.array(bits[row])], names=["key", "share", "node", "bits"])
+                row, key = (np.concatenate(x) for x in zip(*_keyed(part, keyed, wide)))
+                share = _share(key, node[row], shares)
+                h = mix(key.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                slot = (h & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)
+                by = np.argsort(slot.astype(np.uint16 if slots <= 1 << 16 else np.uint32), kind="stable")
+                slot, key, row = slot[by].astype(np.int64), key[by], row[by]
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
+                rows = [_pack(key[x:y], node[row[x:y]], bits[row[x:y]]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]] if len(slot) else slot), pa.array(rows, pa.binary())], names=["slot", "rows"])
 
-    rows = map_arrow(nodes, run, "key long, share int, node long, bits long")
-    return rows.repartition(total // TASK_ROWS + 1, "key", "share").sortWithinPartitions("key", "share", "node"), shares
+    return map_arrow(nodes, run, "slot long, rows binary").repartition(tasks, "slot").sortWithinPartitions("slot"), shares
 
 
 def _runs(key: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -303,14 +328,16 @@ def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -
     """Of dealt buckets: links (name null, a, b: nodes) by the check bits, and members (name, a, b null) of
     the buckets that need another look."""
 
-    def solve(key, share, node, bits, long):
+    def solve(held: list[bytes]) -> pa.RecordBatch:
+        key, node, bits = np.concatenate([_unpack(x, 3) for x in held], axis=1)
+        share = _share(key, node, shares)
+        by = np.lexsort((node, share, key) if share.any() else (node, key))
+        key, share, node, bits = key[by], share[by], node[by], bits[by].view(np.uint64)
         begin = _runs(key, share)
         size = np.diff(np.append(begin, len(key)))
         a, b, run, many = _links(bits, begin, size, limit, block)
         names, members = [], []
         split = (shares[_bin(key[begin])] > 1) | (size > block)
-        if long is not None:
-            split |= (key[begin] == long[0]) & (share[begin] == long[1])
         for k in np.flatnonzero(split | (many > FEW * size)).tolist():
             own = node[begin[k] : begin[k] + size[k]]
             members.append(own)
@@ -326,25 +353,17 @@ def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -
         ], names=["name", "a", "b"])
 
     def run(batches):
-        held, long = None, None
+        # one slot at a time: its rows may come in several batches
+        now, held = None, []
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if not len(cols[0]):
-                continue
-            cols[3] = cols[3].view(np.uint64)
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            # the last bucket may go on in the next batch, but no more than a block of it is kept
-            cut = int(_runs(cols[0], cols[1])[-1])
-            last = (int(cols[0][-1]), int(cols[1][-1]))
-            more = len(cols[0]) - cut >= block
-            cut = len(cols[0]) if more else cut
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield solve(*(c[:cut] for c in cols), last if more else long)
-            long = last if more else long if long == last else None
-        if held is not None and len(held[0]):
-            yield solve(*held, long)
+            for slot, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if slot != now and held:
+                    yield solve(held)
+                    held = []
+                now = slot
+                held.append(rows)
+        if held:
+            yield solve(held)
 
     return map_arrow(rows, run, "name long, a long, b long")
 
