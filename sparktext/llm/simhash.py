@@ -277,7 +277,9 @@ def _buckets(nodes: DataFrame, keyed: int, wide: bool, check: str) -> tuple[Data
                 rows = [_pack(key[x:y], node[row[x:y]], bits[row[x:y]]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()) if y > x]
                 yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]] if len(slot) else slot), pa.array(rows, pa.binary())], names=["slot", "rows"])
 
-    return map_arrow(nodes, run, "slot long, rows binary").repartition(tasks, "slot").sortWithinPartitions("slot"), shares
+    # slots have about equal numbers of rows, so each task takes SLOTS of them by number, not as a hash deals them
+    dealt = map_arrow(nodes, run, "slot long, rows binary").repartitionById(tasks, F.expr(f"CAST(slot DIV {SLOTS} AS INT)"))
+    return dealt.sortWithinPartitions("slot"), shares
 
 
 def _runs(key: np.ndarray, share: np.ndarray) -> np.ndarray:
