@@ -85,12 +85,12 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, keep: int) -> None:
-    """Delete the written tables but for the first ``keep`` and the last one: what a finished stage has used."""
+def drop_tables(spark: SparkSession, keep: int, last: int = 1) -> None:
+    """Delete the written tables but for the first ``keep`` and the ``last`` ones: what a finished stage has used."""
     paths = _scratch.get(spark.sparkContext, [])
-    for p in paths[keep:-1]:
+    for p in paths[keep:-last]:
         _delete(spark, p)
-    del paths[keep:-1]
+    del paths[keep:-last]
 
 
 def tables(spark: SparkSession) -> int:

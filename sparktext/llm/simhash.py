@@ -12,14 +12,15 @@ second one half of each of the two segments is equal, and the two halves and the
 a key (33 bits, 3 choices of the third, 4 of the halves, up to 6 keys each). Candidates are verified.
 
 Fingerprints are first made distinct (copies collapse in a partial aggregation), so groups of exact
-copies never meet. A key goes out with its node and 64 check bits, packed with the others of its slot, so
-that the shuffle grows as the keys do; rows of one key lie together after one shuffle, and the task
-that holds them compares them there, so pairs that meet by chance are never rows of a table. Links are found without emitting all pairs of a group:
-
-1. a bucket gives its links if they are few (``FEW`` times its members at most), else one link for each
-   member and, for round 2, its members under the digest of their set: buckets with the same
-   members become one;
-2. clusters of round 1 are contracted; only buckets that still hold two clusters or more go on. A
+copies never meet. A key goes out with its node, cluster and 64 check bits (for sets, with size and folded parities), packed with the
+others of its slot, so that the shuffle grows as the keys do; rows of one key lie together after one shuffle, and the
+task that holds them compares all of that there, so pairs that meet by chance are never rows of a table. Links are found without emitting all pairs of a group:
+
+1. the first part's keys are dealt and the clusters that their links give contracted, then those of the other keyed
+   parts: a pair within one cluster is no link any more. A bucket gives its links between clusters if they
+   are few (``FEW`` times its members at most), else one link for each member and, for round 2, its members
+   under the digest of their set: buckets with the same members become one;
+2. only buckets that still hold two clusters or more go on. A
    bucket's members are dealt in blocks of bounded size, and each pair of blocks is compared whole
    in one task, which gives a spanning forest of the links, not the links.
 
@@ -38,14 +39,15 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_tables, map_arrow, map_chunks, mix, table, tables
+from ._common import CHUNK_BYTES, drop_tables, map_arrow, map_chunks, mix, table, tables
 
 #: The fixed generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -55,12 +57,14 @@ MAX_BITS = 4
 BLOCK = 4096
 #: Links that a bucket gives for each of its members before only one link a member is given.
 FEW = 2
-#: Bins in which keys are counted to find those that need several tasks; rows of keys for each task.
+#: Bins in which keys are counted to find those that need several tasks; rows of keys (of four columns) for each task.
 BINS, TASK_ROWS = 1 << 16, 1 << 20
 #: Slots of keys for each task, which holds the rows of one slot at a time.
 SLOTS = 8
 #: 64-bit words of the parities kept of a shingle set: hashes are counted in 64 * ODD cells.
 ODD = 8
+#: Words into which these are folded to go out with each key.
+FOLD = 2
 
 
 def fingerprint(data: bytes | None, size: int = 4, parts: int = 1) -> list[int]:
@@ -125,6 +129,12 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((n & 1).astype(np.uint8), bitorder="little").view("<u8")
 
 
+def _excess(share: float, apart, sizes):
+    """By how much sets that differ in ``apart`` hashes at least, of these sizes together, differ too much for a
+    similarity of ``share``: then they have at most (1 - share) / (1 + share) of the sizes' sum in one set only."""
+    return apart - ((1 - share) / (1 + share) * sizes + 1e-6)
+
+
 def _syndrome(v: np.ndarray) -> np.ndarray:
     """Remainder of 23-bit words by the generator."""
     v = v.copy()
@@ -202,10 +212,10 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([r for r, _ in keys]), np.concatenate([k for _, k in keys])
 
 
-def _keyed(batch: pa.RecordBatch, keyed: int, wide: bool):
-    """(row, key) of the first ``keyed`` parts (the columns from 1) of a batch of nodes."""
-    for p in range(keyed):
-        fp = batch.column(p + 1).to_numpy().view(np.uint64)
+def _keyed(batch: pa.RecordBatch, keyed: range, wide: bool):
+    """(row, key) of the ``keyed`` parts (the columns from 2) of a batch of nodes."""
+    for p in keyed:
+        fp = batch.column(p - keyed.start + 2).to_numpy().view(np.uint64)
         row, key = wide_keys(fp) if wide else keys_of(fp)
         yield row, key | (p << 48)
 
@@ -220,7 +230,7 @@ def _share(key: np.ndarray, node: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.where(n > 1, (mix(node.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), 0)
 
 
-def _shares(nodes: DataFrame, keyed: int, wide: bool) -> tuple[np.ndarray, int]:
+def _shares(nodes: DataFrame, keyed: range, wide: bool) -> tuple[np.ndarray, int]:
     """Tasks over which the keys of each bin are dealt (1 but for bins with far more keys than most), and
     the number of all keys. Bins are a fixed number, however many keys there are."""
 
@@ -251,22 +261,24 @@ def _unpack(data: bytes, columns: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
 
 
-def _buckets(nodes: DataFrame, keyed: int, wide: bool, check: str) -> tuple[DataFrame, np.ndarray]:
-    """(slot, rows) for the keys of each node's first ``keyed`` parts, dealt and sorted by slot, and the number of
-    shares by bin. A slot takes whole buckets (keys, or shares of one); its rows (key, node, check bits) of one
-    block of nodes are packed together, so that a key costs its bytes and no row of its own."""
-    fs = [f"f{p}" for p in range(keyed)]
+def _buckets(nodes: DataFrame, keyed: range, wide: bool, check: str, sets: bool) -> tuple[DataFrame, np.ndarray]:
+    """(slot, rows) for the keys of each node's ``keyed`` parts, dealt and sorted by slot, and the number of
+    shares by bin. A slot takes whole buckets (keys, or shares of one); its rows (key, node, cluster, check bits and,
+    with ``sets``, size and folded parities) of one block of nodes are packed together, so that a key costs its bytes
+    and no row of its own."""
+    odds = [reduce(Column.bitwiseXOR, (F.col(f"o{k}") for k in range(e, ODD, FOLD))).alias(f"e{e}") for e in range(FOLD)]
+    checks = [F.col(check).alias("bits"), *(["size", *odds] if sets else [])]
     # nodes are small and their keys many: tasks by the number of nodes, so that none makes millions of keys at once
-    nodes = nodes.repartition(nodes.count() // (2 * BLOCK) + 1, "node").select("node", *fs, F.col(check).alias("bits"))
+    nodes = nodes.repartition(nodes.count() // (2 * BLOCK) + 1, "node").select("node", "cluster", *(f"f{p}" for p in keyed), *checks)
     shares, total = _shares(nodes, keyed, wide)
-    tasks = total // TASK_ROWS + 1
+    tasks = total * (3 + len(checks)) // (4 * TASK_ROWS) + 1
     slots = tasks * SLOTS
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, BLOCK):
                 part = b.slice(k, BLOCK)
-                node, bits = part.column(0).to_numpy(), part.column(part.num_columns - 1).to_numpy()
+                node, cluster, *rest = (c.to_numpy() for c in part.columns)
                 row, key = (np.concatenate(x) for x in zip(*_keyed(part, keyed, wide)))
                 share = _share(key, node[row], shares)
                 h = mix(key.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -274,8 +286,20 @@ def _buckets(nodes: DataFrame, keyed: int, wide: bool, check: str) -> tuple[Data
                 by = np.argsort(slot.astype(np.uint16 if slots <= 1 << 16 else np.uint32), kind="stable")
                 slot, key, row = slot[by].astype(np.int64), key[by], row[by]
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
-                rows = [_pack(key[x:y], node[row[x:y]], bits[row[x:y]]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]] if len(slot) else slot), pa.array(rows, pa.binary())], names=["slot", "rows"])
+                own = (node, node ^ cluster, *rest[len(keyed) :])  # most are their own cluster, and zero takes no room
+                at, rows, held = [], [], 0
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    at.append(slot[x] if y > x else 0)
+                    rows.append(_pack(key[x:y], *(c[row[x:y]] for c in own)))
+                    held += len(rows[-1])
+                    if held >= CHUNK_BYTES:  # small batches, as the executor holds them besides its heap
+                        yield batch(at, rows)
+                        at, rows, held = [], [], 0
+                if held:
+                    yield batch(at, rows)
+
+    def batch(at, rows):
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rows, pa.binary())], names=["slot", "rows"])
 
     # slots have about equal numbers of rows, so each task takes SLOTS of them by number, not as a hash deals them
     dealt = map_arrow(nodes, run, "slot long, rows binary").repartitionById(tasks, F.expr(f"CAST(slot DIV {SLOTS} AS INT)"))
@@ -287,10 +311,20 @@ def _runs(key: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (share[1:] != share[:-1])]))
 
 
-def _links(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, block: int = BLOCK):
-    """(a, b, run, many): rows a before b of one run at ``limit`` or fewer differing bits, and how many such
-    pairs each run has. Runs with more than FEW pairs a row give one for each b. Runs of more than ``block`` are
-    compared in blocks."""
+def _links(bits: np.ndarray, cluster: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, block: int = BLOCK, sets: list[np.ndarray] | None = None, share: float = 0.0):
+    """(a, b, run, many): rows a before b of one run and of two clusters at ``limit`` or fewer differing bits, whose
+    ``sets`` (sizes, folded parities) allow a similarity of ``share``, and how many such pairs each run has. Runs
+    with more than FEW pairs a row give one for each b. Runs of more than ``block`` are compared in blocks."""
+
+    def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs that are near by bits."""
+        ok = cluster[x] != cluster[y]
+        if share:
+            one, two = (sets[0][k].astype(np.int64) for k in (x, y))
+            ok &= np.minimum(one, two) >= share * np.maximum(one, two)
+            ok &= _excess(share, sum(np.bitwise_count(p[x] ^ p[y]).astype(np.int16) for p in sets[1:]), one + two) <= 0
+        return ok
+
     run = np.repeat(np.arange(len(begin)), size)
     small = min(32, block)
     left = np.where(size[run] <= small, (begin + size)[run] - np.arange(len(run)) - 1, 0)
@@ -299,17 +333,22 @@ def _links(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, bl
     d = 1
     while len(at):
         ok = at[np.bitwise_count(bits[at] ^ bits[at + d]) <= limit]
+        ok = ok[linked(ok, ok + d)]
         a.append(ok)
         b.append(ok + d)
         d += 1
         at = at[left[at] >= d]
     many = np.bincount(run[np.concatenate(a)], minlength=len(begin)) if a else np.zeros(len(begin), np.int64)
     for k in np.flatnonzero(size > small).tolist():
+        if (cluster[begin[k] : begin[k] + size[k]] == cluster[begin[k]]).all():
+            continue
         for s in range(begin[k], begin[k] + size[k], block):
             x = bits[s : min(s + block, begin[k] + size[k])]
             every, first = [], []
             for low in range(0, len(x), 256):
                 i, j = np.nonzero(np.triu(np.bitwise_count(x[None, :] ^ x[low : low + 256, None]) <= limit, low + 1))
+                ok = linked(s + low + i, s + j)
+                i, j = i[ok], j[ok]
                 many[k] += len(i)
                 one = np.unique(j, return_index=True)[1]
                 first.append((i[one] + low, j[one]))
@@ -326,18 +365,19 @@ def _links(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, bl
     return a[keep], b[keep], run, many
 
 
-def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -> DataFrame:
-    """Of dealt buckets: links (name null, a, b: nodes) by the check bits, and members (name, a, b null) of
-    the buckets that need another look."""
+def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK, share: float = 0.0) -> DataFrame:
+    """Of dealt buckets: links between clusters (name null, a, b: nodes) by what goes with a key, and members
+    (name, a, b null) of the buckets that need another look."""
 
     def solve(held: list[bytes]) -> pa.RecordBatch:
-        key, node, bits = np.concatenate([_unpack(x, 3) for x in held], axis=1)
-        share = _share(key, node, shares)
-        by = np.lexsort((node, share, key) if share.any() else (node, key))
-        key, share, node, bits = key[by], share[by], node[by], bits[by].view(np.uint64)
-        begin = _runs(key, share)
+        key, node, away, *checks = np.concatenate([_unpack(x, 4 + (1 + FOLD if share else 0)) for x in held], axis=1)
+        dealt = _share(key, node, shares)
+        by = np.lexsort((node, dealt, key) if dealt.any() else (node, key))
+        key, dealt, node, cluster = key[by], dealt[by], node[by], (node ^ away)[by]
+        bits, *sets = (c[by].view(np.uint64) for c in checks)
+        begin = _runs(key, dealt)
         size = np.diff(np.append(begin, len(key)))
-        a, b, run, many = _links(bits, begin, size, limit, block)
+        a, b, run, many = _links(bits, cluster, begin, size, limit, block, sets, share)
         names, members = [], []
         split = (shares[_bin(key[begin])] > 1) | (size > block)
         for k in np.flatnonzero(split | (many > FEW * size)).tolist():
@@ -373,9 +413,7 @@ def _meet(rows: DataFrame, shares: np.ndarray, limit: int, block: int = BLOCK) -
 def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: int, every: bool = False, sizes: tuple | None = None, odd: tuple | None = None, share: float = 0.0):
     """Edges between clusters that link the fingerprints a (rows of parts; clusters ca, nodes na) with
     b, each with its two nodes: a spanning forest or, with ``every``, all links between clusters. Sets whose
-    sizes or parities rule out a similarity of ``share`` are left out: those of that similarity have at most
-    (1 - share) / (1 + share) of the two sizes' sum in one set only.
-    Yields arrays of bounded size."""
+    sizes or parities rule out a similarity of ``share`` are left out. Yields arrays of bounded size."""
     names, both = np.unique(np.concatenate([ca, cb]), return_inverse=True)
     if len(names) < 2:
         return
@@ -398,7 +436,7 @@ def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, na: np
         x, y = np.nonzero(near)
         if share and len(x):
             apart = sum(np.bitwise_count(odd[0][k + x, p] ^ odd[1][y, p]).astype(np.int16) for p in range(ODD))
-            ok = apart <= (1 - share) / (1 + share) * (sizes[0][k + x] + sizes[1][y]) + 1e-6
+            ok = _excess(share, apart, sizes[0][k + x] + sizes[1][y]) <= 0
             x, y = x[ok], y[ok]
         if every:
             yield np.stack([ca[k + x], cb[y], na[k + x], nb[y]], 1)
@@ -506,33 +544,38 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def clusters(nodes: DataFrame, parts: int = 1, keyed: int = 1, limit: int = MAX_BITS, wide: bool = False, block: int = BLOCK, near: int | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None, share: float = 0.0) -> DataFrame:
     """node, cluster (the smallest node reachable by links) for a table of nodes with distinct
     fingerprints (f0, ...). Nodes link at ``limit`` or fewer differing bits over all parts; they meet by
-    the keys (``wide`` ones, or sure ones) of the first ``keyed`` parts. One key in common brings a pair to
+    the keys (``wide`` ones, or sure ones) of the first ``keyed`` parts, of the first and then of the others. One key in common brings a pair to
     the check, first of the last part's bits alone (``near`` or fewer may differ), then of all.
     ``share``: similarity of sets (columns ``size``, ``o0``, ...) that a link's sizes and parities must allow."""
     fs = [f"f{p}" for p in range(parts)]
-    of = [*fs, "size", *(f"o{k}" for k in range(ODD if share else 0))]
+    odds = [f"o{k}" for k in range(ODD if share else 0)]
+    of = [*fs, "size", *odds]
     spark = nodes.sparkSession
     before = tables(spark)
     if "size" not in nodes.columns:
         nodes = nodes.withColumn("size", F.lit(1).cast("long"))
-    met = table(_meet(*_buckets(nodes, keyed, wide, fs[-1]), limit if near is None else near, block), "met")
-    links = met.where("name is null").select("a", "b").distinct()
-    if parts > 1:
-        low = nodes.select(F.col("node").alias("a"), *(F.col(c).alias(f"l{c}") for c in of))
+    label, again = nodes.select("node", F.col("node").alias("cluster"), *of), None
+    for some in (range(1), range(1, keyed)) if keyed > 1 else (range(1),):
+        met = table(_meet(*_buckets(label, some, wide, fs[-1], share > 0), limit if near is None else near, block, share), "met")
+        links = met.where("name is null").select("a", "b").distinct()
+        low = label.select(F.col("node").alias("a"), F.col("cluster").alias("ca"), *(F.col(c).alias(f"l{c}") for c in of))
 
         def differ(names: list[str]):
             return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in names), F.lit(0))
 
-        may = differ(fs) <= limit
-        if share:
-            may &= (F.least("size", "lsize") >= share * F.greatest("size", "lsize")) & (differ(of[parts + 1 :]) <= (1 - share) / (1 + share) * (F.col("size") + F.col("lsize")) + 1e-6)
-        links = links.join(low, "a").join(nodes.select(F.col("node").alias("b"), *of), "b").where(may).select("a", "b")
-    if confirm is not None:
-        links = confirm(links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
-    linked = components(links).withColumnRenamed("node", "a")
-    label = table(nodes.join(linked, nodes["node"] == linked["a"], "left").select("node", F.coalesce("root", "node").alias("cluster"), *of), "clusters")
-    drop_tables(spark, before + 1)  # all but the buckets and the labels
-    again = met.where("name is not null").select(F.col("name").alias("key"), F.col("a").alias("node")).distinct()
+        if parts > 1:
+            may = differ(fs) <= limit
+            if share:
+                may &= _excess(share, differ(odds), F.col("size") + F.col("lsize")) <= 0
+            links = links.join(low, "a").join(label.select(F.col("node").alias("b"), F.col("cluster").alias("cb"), *of), "b").where(may)
+            links = links.select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("a").alias("x"), F.col("b").alias("y"))
+        else:
+            links = links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+        linked = components(links if confirm is None else confirm(links)).withColumnRenamed("node", "a")
+        held = met.where("name is not null").select(F.col("name").alias("key"), F.col("a").alias("node")).distinct()
+        again = table(held if again is None else again.unionByName(held), "again")
+        label = table(label.join(linked, label["cluster"] == linked["a"], "left").select("node", F.coalesce("root", "cluster").alias("cluster"), *of), "clusters")
+        drop_tables(spark, before, 2)  # all but the buckets and the labels
     if again.isEmpty():
         return label.select("node", "cluster")
     # a forest by bits joins most of what belongs together; a link that isn't confirmed may hide another

@@ -240,3 +240,32 @@ def test_a_dense_group_of_short_copies_around_the_limit(spark):
     kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert 1 < len(set(up)) < 140 and kept >= set(up)  # no two groups are joined
     assert len(kept) <= len(set(up)) + 0.1 * (len(rows) - len(set(up)))
+
+
+def test_copies_around_the_limit_make_few_rows(spark, monkeypatch):
+    """A large group of near copies: rows of pairs stay a few for each text, and the groups are those of all pairs."""
+    rng, rows, met, real = random.Random(14), [], [], simhash.table
+    for k in range(400):
+        w = [f"w{p}" for p in range(150)]
+        for p in rng.sample(range(150), rng.randint(1, 9)):
+            w[p] = f"v{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+
+    def table(df, name, **options):
+        out = real(df, name, **options)
+        if name == "met":
+            met.append(out.where("name is null").select("a", "b").distinct().count())
+        return out
+
+    monkeypatch.setattr(simhash, "table", table)
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(146)} for _, t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if up[i] != up[j] and same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    assert kept >= set(up) and len(kept) <= len(set(up)) + 0.1 * (len(rows) - len(set(up)))
+    assert sum(met) <= 20 * len(rows), met
