@@ -15,24 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound_batches
+
 #: Bytes of text that a Python worker gathers before it works on them together.
 CHUNK_BYTES = 4 << 20
 
 _scratch: "weakref.WeakKeyDictionary[object, list[str]]" = weakref.WeakKeyDictionary()
 
 
-#: Bytes of a batch that goes to a Python worker at once (rows are never cut).
-BATCH_BYTES = 16 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as by rows: texts may be long."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder."""
     bound_batches(spark)

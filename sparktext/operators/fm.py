@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound_batches
 from ..plans.regex import Program
 from ..sources.corpus import Corpus
 from . import suffix
@@ -26,12 +27,20 @@ from . import suffix
 #: Bytes of the documents that start in one shard.
 SHARD = 1 << 20
 
+#: Options of a written index. A row is about nine times its text: row groups are looked at after each row (by
+#: default after 100), and neither dictionaries nor least and greatest values, whole columns here, are kept in memory.
+WRITE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
+
 
 def build(corpus: Corpus, size: int = SHARD, algorithm: str = "sais") -> DataFrame:
     """shard, start, n (suffixes), runs, c, sa, b0..b255 (null: no such byte), and its documents' ids, orders, starts."""
     kernel = suffix.KERNELS[algorithm]
+    spark = corpus.rows.sparkSession
+    bound_batches(spark)
     docs = corpus.df.select(F.floor(F.col("start") / size).alias("shard"), "start", "ord", "doc_id", F.concat("body", "tail").alias("t"), "byte_len")
-    dealt = docs.repartition("shard").sortWithinPartitions("shard", "ord")
+    # neighbouring shards go to different tasks, and few to one: sorting suffixes takes long for so few bytes
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "ord")
     kind = dict(docs.dtypes)["doc_id"]
 
     def row(held: list[dict], kind: pa.DataType) -> pa.RecordBatch:
@@ -101,6 +110,7 @@ def evaluate(program: Program, c, ranks: dict[int, np.ndarray], intervals: np.nd
 
 def _searched(index: DataFrame, program: Program, accepts: frozenset[int], more: list[str], give, schema: str) -> DataFrame:
     used = sorted(accepts)
+    bound_batches(index.sparkSession)
 
     def run(batches):
         for b in batches:

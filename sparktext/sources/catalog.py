@@ -87,16 +87,16 @@ def save(index: Index, path: str) -> DataFrame:
     spark = index.corpus.rows.sparkSession
     written = []
 
-    def put(name: str, df: DataFrame, by: str | None = None, order: list[str] | None = None) -> None:
+    def put(name: str, df: DataFrame, by: str | None = None, order: list[str] | None = None, **options: str) -> None:
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        w = df.write.mode("overwrite")
+        w = df.write.mode("overwrite").options(**options)
         (w.partitionBy(by) if by else w).parquet(f"{path}/{name}")
         written.append((name, spark.read.parquet(f"{path}/{name}").count()))
 
     put("corpus", index.corpus.df)
     if index.fm is not None:
-        put("fm", index.fm)
+        put("fm", index.fm, **fm_ops.WRITE)
     if index.sa is not None:
         put("sa", index.sa, order=["shard", "rank"])
         if index.backend == "fm" and (index.occ == "bitvectors" or index.storage.mode == "external"):

@@ -326,3 +326,24 @@ def test_keys_must_be_distinct(spark):
         assert ops.count(c, rx.compile_literal("the")).first()["n"] == 2
         with pytest.raises(Exception, match="distinct"):
             ops.locate(c, rx.compile_literal("the")).collect()
+
+
+def test_written_index_holds_no_row_in_its_footer(spark, tmp_path):
+    """Least and greatest values of a column of one long value a row are the rows: a writer that keeps them keeps all it wrote."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from sparktext import queries
+
+    texts = ["the first text and the end", "über the second", "", "worthless qu é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    index = queries._index(spark, str(tmp_path))
+    catalog.save(catalog.build(Corpus.from_texts(spark, texts)), f"{tmp_path}/saved")
+    for files in (index.inputFiles(), glob.glob(f"{tmp_path}/saved/fm/*.parquet")):
+        assert files
+        for f in files:
+            meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+            assert all(meta.row_group(g).column(k).statistics is None for g in range(meta.num_row_groups) for k in range(meta.num_columns))
+    got = {r["pattern"]: r["n"] for r in queries.QUERIES["index_literal_count"](spark, str(tmp_path)).collect()}
+    assert got == {p: sum(t.count(p) for t in texts) for p in queries._MANY}
