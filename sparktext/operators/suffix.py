@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound_batches
 from ..functions.byteview import view
 from ..sources.corpus import Corpus
 
@@ -160,6 +161,60 @@ def summaries(texts: DataFrame, shard: str = "doc_id", body: str = "body", algor
     return rows.mapInArrow(run, "shard long, sa_len long, runs long, alphabet_size long")
 
 
+def dealt(texts: DataFrame, shard: str = "doc_id") -> DataFrame:
+    """Texts dealt to all cores by their keys: a small file may be one split or one row group, its suffixes are many times its bytes."""
+    return texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, shard)
+
+
+def _byte_counts(texts: DataFrame, shard: str, body: str, give, schema: str) -> DataFrame:
+    """Counts of a shard's bytes and sentinel, which are those of its transform. Rows of a shard are neighbours
+    in one task, so they are counted there, 4,096 shards and 1 MB at a time; nothing is grouped by a hash."""
+    bound_batches(texts.sparkSession)
+
+    def run(batches):
+        key, n = None, None  # the last shard seen may have more rows
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                b = batch.slice(k, 4096)
+                keys, value = b.column(0), b.column(1).fill_null(b"").cast(pa.large_binary())
+                at = np.frombuffer(value.buffers()[1], np.int64)[value.offset : value.offset + len(value) + 1]
+                number, valid = keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)
+                new = np.append(True, (number[1:] != number[:-1]) | (valid[1:] != valid[:-1]))
+                run_of = np.cumsum(new) - 1
+                counts = np.zeros(((run_of[-1] + 1), 256), np.int64)
+                counts[:, 0] = np.bincount(run_of)  # sentinels
+                for lo in range(int(at[0]), int(at[-1]), 1 << 20):
+                    hi = min(lo + (1 << 20), int(at[-1]))
+                    owner = run_of[np.searchsorted(at, np.arange(lo, hi), "right") - 1]
+                    low = owner[0]
+                    cells = np.bincount((owner - low) * 256 + np.frombuffer(value.buffers()[2], np.uint8, hi - lo, lo))
+                    counts.ravel()[low * 256 : low * 256 + len(cells)] += cells
+                own = keys.take(pa.array(np.flatnonzero(new)))
+                if n is not None and key == own[0].as_py():
+                    counts[0] += n[0]
+                elif n is not None:
+                    yield give(pa.array([key], pa.int64()), n)
+                if len(counts) > 1:
+                    yield give(own.slice(0, len(own) - 1), counts[:-1])
+                key, n = own[len(own) - 1].as_py(), counts[-1:].copy()
+        if n is not None:
+            yield give(pa.array([key], pa.int64()), n)
+
+    rows = dealt(texts.select(F.col(shard).cast("long").alias("shard"), F.col(body).alias("body")), "shard")
+    return rows.sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
+def c_arrays(texts: DataFrame, shard: str = "doc_id", body: str = "body") -> DataFrame:
+    """shard, byte, c of each shard's texts, as ``c_array`` of their suffix table gives them, without that table."""
+
+    def give(keys, counts):
+        row, byte = np.nonzero(counts)
+        c = (np.cumsum(counts, axis=1) - counts)[row, byte]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(byte.astype(np.int32)), pa.array(c)], names=["shard", "byte", "c"])
+
+    return _byte_counts(texts, shard, body, give, "shard long, byte int, c long")
+
+
 def one_shard(corpus: Corpus) -> DataFrame:
     """The whole corpus as one row (shard 0); refused beyond ``MAX_SHARD`` bytes."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", (view(F.concat("body", "tail"))).alias("t")))), lambda x: x["t"]), "")

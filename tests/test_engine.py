@@ -347,3 +347,28 @@ def test_written_index_holds_no_row_in_its_footer(spark, tmp_path):
             assert all(meta.row_group(g).column(k).statistics is None for g in range(meta.num_row_groups) for k in range(meta.num_columns))
     got = {r["pattern"]: r["n"] for r in queries.QUERIES["index_literal_count"](spark, str(tmp_path)).collect()}
     assert got == {p: sum(t.count(p) for t in texts) for p in queries._MANY}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _parts(spark, tmp_path):
+    """Part names, some with one key or none, and their suffix table."""
+    rng = random.Random(5)
+    names = [(k, "".join(rng.choice("abn ") for _ in range(rng.randint(0, 14)))) for k in range(9000)] + [(7, "banana"), (7, None), (None, "nab"), (None, "")]
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    texts = spark.createDataFrame([(k, bytearray((t or "").encode())) for k, t in names if t is not None], "doc_id long, body binary")
+    return texts, suffix.suffix_table(texts)
+
+
+def test_shard_c_array_by_counts_where_texts_are(spark, tmp_path):
+    from sparktext import queries
+
+    texts, sa = _parts(spark, tmp_path)
+    got = queries.QUERIES["shard_c_array"](spark, str(tmp_path))
+    assert "Aggregate" not in _plan(got)  # no table of shards and bytes in a task
+    assert sorted(map(str, got.collect())) == sorted(map(str, suffix.c_array(sa).collect()))
+    assert suffix.c_arrays(texts.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, bytearray(b"ab" * 900_000)), (1, bytearray(b"\xff\0"))], "doc_id long, body binary")
+    assert [tuple(r) for r in suffix.c_arrays(long).collect()] == [(1, 0, 0), (1, 97, 3), (1, 98, 900_003), (1, 255, 1_800_003)]
