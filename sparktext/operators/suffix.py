@@ -215,6 +215,15 @@ def c_arrays(texts: DataFrame, shard: str = "doc_id", body: str = "body") -> Dat
     return _byte_counts(texts, shard, body, give, "shard long, byte int, c long")
 
 
+def alphabet_sizes(texts: DataFrame, shard: str = "doc_id", body: str = "body") -> DataFrame:
+    """shard, alphabet_size of each shard's texts, as ``alphabet_size`` of their suffix table gives them, without that table."""
+
+    def give(keys, counts):
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.count_nonzero(counts, axis=1))], names=["shard", "alphabet_size"])
+
+    return _byte_counts(texts, shard, body, give, "shard long, alphabet_size long")
+
+
 def one_shard(corpus: Corpus) -> DataFrame:
     """The whole corpus as one row (shard 0); refused beyond ``MAX_SHARD`` bytes."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", (view(F.concat("body", "tail"))).alias("t")))), lambda x: x["t"]), "")

@@ -372,3 +372,12 @@ def test_shard_c_array_by_counts_where_texts_are(spark, tmp_path):
     assert suffix.c_arrays(texts.limit(0)).count() == 0
     long = spark.createDataFrame([(1, bytearray(b"ab" * 900_000)), (1, bytearray(b"\xff\0"))], "doc_id long, body binary")
     assert [tuple(r) for r in suffix.c_arrays(long).collect()] == [(1, 0, 0), (1, 97, 3), (1, 98, 900_003), (1, 255, 1_800_003)]
+
+
+def test_shard_alphabet_by_counts_where_texts_are(spark, tmp_path):
+    from sparktext import queries
+
+    _, sa = _parts(spark, tmp_path)
+    got = queries.QUERIES["shard_alphabet"](spark, str(tmp_path))
+    assert "Aggregate" not in _plan(got)
+    assert sorted(map(str, got.collect())) == sorted(map(str, suffix.alphabet_size(sa).collect()))
