@@ -224,6 +224,28 @@ def alphabet_sizes(texts: DataFrame, shard: str = "doc_id", body: str = "body")
     return _byte_counts(texts, shard, body, give, "shard long, alphabet_size long")
 
 
+def positions_in(texts: DataFrame, intervals: list[tuple[int, int]], shard: str = "doc_id", body: str = "body", algorithm: str = "sais") -> DataFrame:
+    """shard, pos of the suffixes whose ranks are in the intervals, the same for each row's byte string, each once.
+    They are taken where the string is sorted, so no other suffix leaves the task."""
+    kernel = KERNELS[algorithm]
+    asked = np.unique(np.concatenate([np.arange(lo, hi) for lo, hi in intervals] or [np.zeros(0, np.int64)]))
+    bound_batches(texts.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                b = batch.slice(k, 4096)
+                found = []
+                for value in b.column(1).to_pylist():
+                    sa = kernel(value or b"")
+                    found.append(sa[asked[: np.searchsorted(asked, len(sa))]])
+                row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.concatenate(found).astype(np.int64))], names=["shard", "pos"])
+
+    rows = dealt(texts.select(F.col(shard).cast("long").alias("shard"), F.col(body).alias("body")), "shard")
+    return rows.mapInArrow(run, "shard long, pos long")
+
+
 def one_shard(corpus: Corpus) -> DataFrame:
     """The whole corpus as one row (shard 0); refused beyond ``MAX_SHARD`` bytes."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", (view(F.concat("body", "tail"))).alias("t")))), lambda x: x["t"]), "")

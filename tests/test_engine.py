@@ -381,3 +381,14 @@ def test_shard_alphabet_by_counts_where_texts_are(spark, tmp_path):
     got = queries.QUERIES["shard_alphabet"](spark, str(tmp_path))
     assert "Aggregate" not in _plan(got)
     assert sorted(map(str, got.collect())) == sorted(map(str, suffix.alphabet_size(sa).collect()))
+
+
+def test_interval_positions_where_texts_are_sorted(spark, tmp_path):
+    from sparktext import queries
+
+    texts, sa = _parts(spark, tmp_path)
+    got = queries.QUERIES["interval_positions"](spark, str(tmp_path))
+    assert "Join" not in _plan(got) and "Window" not in _plan(got)  # suffixes beyond the intervals stay in their task
+    want = sa.where("rank in (1, 2, 3, 5)").select("shard", "pos")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert suffix.positions_in(texts, []).count() == 0
