@@ -392,3 +392,30 @@ def test_interval_positions_where_texts_are_sorted(spark, tmp_path):
     want = sa.where("rank in (1, 2, 3, 5)").select("shard", "pos")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert suffix.positions_in(texts, []).count() == 0
+
+
+def test_byte_counts_of_a_long_text_take_little_memory(spark):
+    """NumPy counts bytes on a copy of eight bytes each: no more than 1 MB is counted at once."""
+    import tracemalloc
+
+    from sparktext.sources import corpus as c
+
+    text = b"ab\xff" * 3_000_000
+    one = Corpus.from_texts(spark, [text, b"", b"b"])
+    taken = []
+    real = type(one.rows).mapInArrow
+    try:
+        type(one.rows).mapInArrow = lambda self, f, schema: taken.append(f) or real(self, f, schema)
+        got = {r["byte"]: r["n"] for r in one.byte_histogram().collect()}
+    finally:
+        type(one.rows).mapInArrow = real
+    assert got == {0: 1, 10: 2, 97: 3_000_000, 98: 3_000_001, 255: 3_000_000}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([text], pa.binary()), pa.array([b"\0"], pa.binary())], names=["body", "tail"])
+    tracemalloc.start()
+    assert sum(b.column(1).to_pylist()[-1] for b in taken[0]([batch])) == 3_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * c.STEP + (1 << 20), peak
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(16 << 20)
