@@ -419,3 +419,20 @@ def test_byte_counts_of_a_long_text_take_little_memory(spark):
     tracemalloc.stop()
     assert peak < 2 * 8 * c.STEP + (1 << 20), peak
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(16 << 20)
+
+
+def _no_statistics(df):
+    import pyarrow.parquet as pq
+
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in df.inputFiles()]
+    return bool(metas) and all(m.row_group(g).column(k).statistics is None for m in metas for g in range(m.num_row_groups) for k in range(m.num_columns))
+
+
+def test_index_locate_reads_an_index_without_statistics(spark, tmp_path):
+    from sparktext import queries
+
+    texts = ["the first the", "", "bathe é the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["index_locate"](spark, str(tmp_path))
+    assert _no_statistics(got)
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (0, 10), (2, 2), (2, 9)]
