@@ -436,3 +436,13 @@ def test_index_locate_reads_an_index_without_statistics(spark, tmp_path):
     got = queries.QUERIES["index_locate"](spark, str(tmp_path))
     assert _no_statistics(got)
     assert sorted(map(tuple, got.collect())) == [(0, 0), (0, 10), (2, 2), (2, 9)]
+
+
+def test_index_regex_reads_an_index_without_statistics(spark, tmp_path):
+    from sparktext import queries
+
+    texts = ["the actions tear", "anan", "élere"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["index_regex"](spark, str(tmp_path))
+    assert _no_statistics(got)
+    assert {r["name"]: r["n"] for r in got.collect()} == {"regex_alternation": 1, "regex_class": 0, "regex_optional": 1, "regex_repeat": 1, "regex_utf8": 1}
